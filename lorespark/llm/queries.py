@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import quality
+from lorespark.llm import quality, reshard, secrets, warc
 from lorespark.llm.common import read
 
 
@@ -12,10 +12,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"))
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit_pages(read(spark, sf_dir, "pages"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op4_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.reshard(read(spark, sf_dir, "documents"), shards=24)[0]
+
+
 QUERIES = {
+    "op4_flow_reshard": op4_flow_reshard,
+    "op5_secret_scan": op5_secret_scan,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op5_secret_scan": secrets.oracle(),
+    "op9_warc_fixity": warc.oracle(),
     "op10_quality_rules": quality.oracle(),
 }
