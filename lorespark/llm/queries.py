@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import quality, reshard, secrets, warc
+from lorespark.llm import bpe, quality, reshard, secrets, tokenids, warc
 from lorespark.llm.common import read
 
 
@@ -24,7 +24,17 @@ def op4_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.reshard(read(spark, sf_dir, "documents"), shards=24)[0]
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.encode(read(spark, sf_dir, "documents"))[0]
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
+    "op7_bpe": op7_bpe,
     "op4_flow_reshard": op4_flow_reshard,
     "op5_secret_scan": op5_secret_scan,
     "op9_warc_fixity": op9_warc_fixity,
