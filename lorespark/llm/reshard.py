@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import shared_dir
 
 RANGES = 512  # id ranges, hence most blocks of one shard
+MOST_BROADCAST = 200_000  # moves of which every executor gets a copy; more are joined by a shuffle
 FILE_BYTES = 32 << 20  # text bytes that a rewritten file holds, about
 
 
@@ -137,6 +138,8 @@ def reshard(docs: DataFrame, shards: int, shard_col: str = "source", id_col: str
     moved = sum(sizes[a][b] for a, b, _ in moves)
     out_dir = out_dir or f"{shared_dir(spark)}/reshard-{uuid.uuid4().hex}"
     to = spark.createDataFrame(moves, "from_ string, moved_ long, to_ string")
+    if len(moves) <= MOST_BROADCAST:
+        to = F.broadcast(to)  # else the texts are shuffled to the moves
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_place(shard_col, id_col, span))
     hit = row.join(to, (F.col("shard_") == F.col("from_")) & (F.col("block_") == F.col("moved_")), "left")
     placed = hit.select("row", "shard_", "block_", F.coalesce("to_", "shard_").alias("new_"))
