@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import bpe, quality, reshard, secrets, tokenids, warc
+from lorespark.llm import bpe, ngram_join, quality, reshard, secrets, tokenids, warc
 from lorespark.llm.common import read
 
 
@@ -32,7 +32,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op1_token_ids": op1_token_ids,
     "op7_bpe": op7_bpe,
     "op4_flow_reshard": op4_flow_reshard,
@@ -42,6 +47,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_ngram_jaccard": ngram_join.oracle(),
     "op5_secret_scan": secrets.oracle(),
     "op9_warc_fixity": warc.oracle(),
     "op10_quality_rules": quality.oracle(),
