@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import bpe, ngram_join, quality, reshard, secrets, tokenids, warc
+from lorespark.llm import bpe, ngram_join, quality, reshard, secrets, suffix_dedup, tokenids, warc
 from lorespark.llm.common import read
 
 
@@ -36,7 +36,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op1_token_ids": op1_token_ids,
     "op7_bpe": op7_bpe,
@@ -47,6 +52,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_suffix_dedup": suffix_dedup.oracle(),
     "op6_ngram_jaccard": ngram_join.oracle(),
     "op5_secret_scan": secrets.oracle(),
     "op9_warc_fixity": warc.oracle(),
