@@ -1,10 +1,11 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, verified once per pair.
 
 Texts become sets of word n-grams, ordered rare first. Two sets with Jaccard similarity t or more share a gram among the
-first |x| - ceil(t|x|) + 1 of each, so only these prefixes are joined, packed by gram bucket. In a bucket numpy pairs
-the documents of every gram under the length filter (sizes differ by no more than t allows) and the positional filter
-(what follows the shared grams can still reach the needed overlap). Distinct candidates are brought together with their
-whole sets once, by the smallest partner that they share, cut by the suffix filter and verified exactly.
+first |x| - ceil(t|x|) + 1 of each, and l grams among l - 1 more, so only these prefixes are joined, packed by gram
+bucket; l grows with the set, so that one or two grams shared by chance make no candidate. In a bucket numpy pairs the
+documents of every gram under the length filter (sizes differ by no more than t allows) and the positional filter (what
+follows the shared gram can still reach the needed overlap). Pairs that met l times are brought together with their whole
+sets once, by the smallest partner that they share, cut by the suffix filter and verified exactly.
 
 The order needs frequencies over the whole corpus. They are counted in a hashed table whose size follows the input; any
 order that all documents share gives the exact result, the counts only keep common grams out of the prefixes.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import SQL_WORDS, U64, cut, drop_cut, grams, word_chunks
+from lorespark.llm.common import SQL_WORDS, U64, cut, drop_cut, grams, mix, word_chunks
 
 N = 2
 THRESHOLD = 0.6
@@ -83,8 +84,13 @@ def ordered_sets(col: pa.Array, n: int, levels: np.ndarray) -> Iterator[tuple[in
         yield w.doc_from, d[new], key[new], np.bincount(d[new], minlength=w.doc_to - w.doc_from)
 
 
+def meetings(size: np.ndarray) -> np.ndarray:
+    """l: how many of their prefix grams two sets must share; that of the smaller set counts."""
+    return 1 + size // 25
+
+
 def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
-    return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+    return size - np.ceil(t * size - 1e-9).astype(np.int64) + meetings(size)
 
 
 def need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
@@ -93,7 +99,7 @@ def need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 
 
 def bucket_pairs(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float, flush: int = 4_000_000) -> np.ndarray:
-    """Distinct candidate pairs (rows of two ids, the lesser first) among the prefix entries of some grams."""
+    """Pairs that meet among the prefix entries of some grams: rows of two ids (the lesser first), meetings here, meetings needed."""
     o = np.lexsort((size, gram))
     gram, doc, size, pos = gram[o], doc[o], size[o].astype(np.int64), pos[o].astype(np.int64)
     n = len(gram)
@@ -105,25 +111,28 @@ def bucket_pairs(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.nd
         other = alive + step
         near = size[alive] >= np.ceil(t * size[other] - 1e-9)  # in a group sizes rise, so a pair too far apart ends its row
         alive, other = alive[near], other[near]
-        rest = np.minimum(size[alive] - pos[alive], size[other] - pos[other])
-        ok = (rest >= need(size[alive], size[other], t)) & (doc[alive] != doc[other])
+        rest, l = np.minimum(size[alive] - pos[alive], size[other] - pos[other]), meetings(size[alive])
+        ok = (rest > need(size[alive], size[other], t) - l) & (doc[alive] != doc[other])
         x, y = doc[alive[ok]], doc[other[ok]]
         if len(x):
-            held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            held.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64), l[ok]], 1))
             kept += len(x)
             if kept > flush:
-                held = [_distinct(np.concatenate(held))]
-                kept = len(held[0])
+                held = [add_up(np.concatenate(held))]
+                kept, flush = len(held[0]), max(flush, 2 * len(held[0]))
         step += 1
-    return _distinct(np.concatenate(held)) if held else np.zeros((0, 2), np.int64)
+    return add_up(np.concatenate(held)) if held else np.zeros((0, 4), np.int64)
 
 
-def _distinct(p: np.ndarray) -> np.ndarray:
-    o = np.lexsort((p[:, 1], p[:, 0]))
-    p = p[o]
+def add_up(p: np.ndarray) -> np.ndarray:
+    """One row a pair, with the sum of its meetings."""
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
     new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]).any(1)
-    return p[new]
+    new[1:] = (p[1:, :2] != p[:-1, :2]).any(1)
+    out = p[new]
+    if len(p):
+        out[:, 2] = np.add.reduceat(p[:, 2], np.flatnonzero(new))
+    return out
 
 
 def suffix_distance(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
@@ -224,11 +233,22 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str
 
     def pair(table: pa.Table) -> pa.Table:
         g, d, s, p = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) for c, k in (("g", "<u8"), ("d", "<i8"), ("s", "<i4"), ("p", "<i4")))
-        out = bucket_pairs(g, d, s, p, t)
-        return pa.table({"doc_a": pa.array(out[:, 0], pa.int64()), "doc_b": pa.array(out[:, 1], pa.int64())})
+        m = bucket_pairs(g, d, s, p, t)
+        of = (mix(m[:, 0].view(U64) * U64(3) + m[:, 1].view(U64)) % U64(buckets)).astype(np.int64)
+        o = np.argsort(of, kind="stable")
+        m, edge = m[o], np.searchsorted(of[o], np.arange(buckets + 1))
+        some = [k for k in range(buckets) if edge[k] < edge[k + 1]]
+        cols = [pa.array([m[edge[k] : edge[k + 1], c].astype(kind).tobytes() for k in some], pa.binary()) for c, kind in enumerate(("<i8", "<i8", "<u4", "<u4"))]
+        return pa.table([pa.array(some, pa.int32()), *cols], names=["bucket", "a", "b", "n", "l"])
+
+    def enough(table: pa.Table) -> pa.Table:
+        m = add_up(np.stack([np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]).astype(np.int64) for c, k in (("a", "<i8"), ("b", "<i8"), ("n", "<u4"), ("l", "<u4"))], 1))
+        m = m[m[:, 2] >= m[:, 3]]
+        return pa.table({"doc_a": pa.array(m[:, 0], pa.int64()), "doc_b": pa.array(m[:, 1], pa.int64())})
 
     packed = reps.mapInArrow(entries, "bucket int, g binary, d binary, s binary, p binary")
-    pairs = cut(packed.groupBy("bucket").applyInArrow(pair, "doc_a long, doc_b long").distinct(), "candidates")
+    met = packed.groupBy("bucket").applyInArrow(pair, "bucket int, a binary, b binary, n binary, l binary")
+    pairs = cut(met.groupBy("bucket").applyInArrow(enough, "doc_a long, doc_b long"), "candidates")
 
     both = pairs.unionByName(pairs.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
     least = cut(both.groupBy("doc_a").agg(F.least(F.min("doc_b"), F.first("doc_a")).alias("m")), "least")
