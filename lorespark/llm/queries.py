@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import bpe, ngram_join, quality, reshard, secrets, suffix_dedup, tokenids, warc
+from lorespark.llm import bpe, decontaminate, ngram_join, quality, reshard, secrets, suffix_dedup, tokenids, warc
 from lorespark.llm.common import read
 
 
@@ -40,7 +40,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op1_token_ids": op1_token_ids,

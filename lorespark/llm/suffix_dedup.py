@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ from lorespark.llm.ngram_join import _small, text_classes
 LENGTH = 50
 GRAM = 10
 MOST_BROADCAST = 4_000_000  # repeated anchors of which every executor gets a copy; more are joined by document
+BUCKET_BYTES = 4 << 20  # text for which there is one partition of suffixes
 _LOW = U64((1 << 28) - 1)
 
 
@@ -127,25 +128,26 @@ def sort_suffixes(h: np.ndarray, suffix: np.ndarray, group: np.ndarray, length:
     return order, equal
 
 
-def _verified(words: list[list[bytes]], run: np.ndarray, at: np.ndarray, order: np.ndarray, equal: np.ndarray, length: int) -> np.ndarray:
-    """``equal`` without hash collisions: every two runs with equal windows at one distance are compared once, word for word."""
+def _verified(text: Callable[[int, int], bytes], run: np.ndarray, suffix: np.ndarray, order: np.ndarray, equal: np.ndarray, length: int) -> np.ndarray:
+    """``equal`` without hash collisions: every two runs with equal windows at one distance are compared once, word for word.
+
+    ``text`` gives the words from one index to another as canonical bytes.
+    """
     i = np.flatnonzero(equal)
     a, b = order[i - 1], order[i]
-    key = np.stack([run[a], run[b], at[a] - at[b]], 1)
-    o = np.lexsort((at[a], key[:, 2], key[:, 1], key[:, 0]))
+    key = np.stack([run[a], run[b], suffix[a] - suffix[b]], 1)
+    o = np.lexsort((suffix[a], key[:, 2], key[:, 1], key[:, 0]))
     new = np.ones(len(o), bool)
-    if len(o):
-        new[1:] = (key[o[1:]] != key[o[:-1]]).any(1)
+    if len(o):  # a gap between equal windows also begins a new comparison
+        new[1:] = (key[o[1:]] != key[o[:-1]]).any(1) | (suffix[a[o[1:]]] > suffix[a[o[:-1]]] + length)
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(o)) - 1
-    for p, q in zip(o[head], o[tail]):
-        n = int(at[a[q]] - at[a[p]]) + length
-        x, y = int(at[a[p]]), int(at[b[p]])
-        if words[run[a[p]]][x : x + n] != words[run[b[p]]][y : y + n]:  # a collision, or equal windows with others between: look at each
-            part = o[(key[o] == key[p]).all(1)]
-            for k in part:
-                u, v = int(at[a[k]]), int(at[b[k]])
-                if words[run[a[k]]][u : u + length] != words[run[b[k]]][v : v + length]:
+    starts, ends, shift = suffix[a[o[head]]].tolist(), (suffix[a[o[tail]]] + length).tolist(), (suffix[b[o[head]]] - suffix[a[o[head]]]).tolist()
+    for q, (x, y, d) in enumerate(zip(starts, ends, shift)):
+        if text(x, y) != text(x + d, y + d):
+            for k in o[head[q] : tail[q] + 1]:
+                u, v = int(suffix[a[k]]), int(suffix[b[k]])
+                if text(u, u + length) != text(v, v + length):
                     equal[i[k]] = False
     return equal
 
@@ -153,13 +155,12 @@ def _verified(words: list[list[bytes]], run: np.ndarray, at: np.ndarray, order:
 def repeated_windows(table: pa.Table, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start word, whether it occurs earlier) of all windows in a partition's runs that occur twice or more."""
     anchor, doc, start, count, off = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) if table.num_rows else np.zeros(0, k) for c, k in (("anchor", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4"), ("off", "<i4")))
-    texts = [t for x in table.column("words") for t in x.as_py().split(b"\n")[:-1]] if table.num_rows else []
-    h, first = [], [0]
-    for w in word_chunks(pa.array(texts, pa.binary())):
-        h.append(w.hash)
-        first.extend((w.first[1:] + first[-1]).tolist())
-    h = np.concatenate(h) if h else np.zeros(0, U64)
-    first = np.array(first[:-1], np.int64)
+    joined = pa.array([b"".join(x.as_py() for x in table.column("words"))], pa.binary())  # runs end with line feeds, words with one space or that
+    h, first, begin, stop = np.zeros(0, U64), np.zeros(0, np.int64), [], []
+    for w in word_chunks(joined):
+        h, begin, stop = w.hash, w.start, w.end
+        first = np.searchsorted(w.start, np.concatenate([[0], np.flatnonzero(w.data == 10)[:-1] + 1])) if len(w.data) else first
+    raw = joined[0].as_py()
     run = np.repeat(np.arange(len(anchor)), count)
     at = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
     suffix, offset = first[run] + at, off[run] - at  # offset: from the window's start to its anchor
@@ -169,7 +170,7 @@ def repeated_windows(table: pa.Table, length: int = LENGTH) -> tuple[np.ndarray,
     group = np.cumsum(~same)
     order, equal = sort_suffixes(h, suffix, group, length)
     if equal.any():
-        equal = _verified([t.split(b" ") for t in texts], run, at, order, equal, length)
+        equal = _verified(lambda x, y: raw[begin[x] : stop[y - 1]], run, suffix, order, equal, length)
     cls = np.cumsum(~equal)
     many = np.bincount(cls, minlength=len(cls) + 1)[cls] > 1 if len(cls) else np.zeros(0, bool)
     # merging keeps the order of equal suffixes, which came by document and place: the first of a class is the earliest
@@ -221,7 +222,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
     n_other = other.count()
     reps = texts.join(_small(other, n_other), "doc_id", "left_anti")
     text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / 50_000_000))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / BUCKET_BYTES))
 
     def exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -309,7 +310,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
 
     copied = classes.join(classes.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "digest", "left_semi").select("doc_id", (F.col("doc_id") != F.col("rep")).alias("later"))
     copied = cut(copied, "copied")
-    whole = texts.join(_small(copied, copied.count()), "doc_id").select("doc_id", F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")).cast("long").alias("stop"), "later")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.concatenate([np.diff(w.first) for w in word_chunks(b.column(2))] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "later", "stop"])
+
+    whole = texts.join(_small(copied, copied.count()), "doc_id").select("doc_id", "later", "text").mapInArrow(measure, "doc_id long, later boolean, stop long")
     whole = whole.filter(F.col("stop") >= length).dropDuplicates(["doc_id"]).select("doc_id", F.lit(0).cast("long").alias("start"), "stop", "later")
 
     def merge(table: pa.Table) -> pa.Table:
