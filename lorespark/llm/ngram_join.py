@@ -232,8 +232,8 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str
             yield _packed(held, buckets)
 
     def pair(table: pa.Table) -> pa.Table:
-        g, d, s, p = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) for c, k in (("g", "<u8"), ("d", "<i8"), ("s", "<i4"), ("p", "<i4")))
-        m = bucket_pairs(g, d, s, p, t)
+        g, level, d, s, p = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) for c, k in (("g", "<u4"), ("level", "u1"), ("d", "<i8"), ("s", "<i4"), ("p", "<i4")))
+        m = bucket_pairs(level.astype(np.int64) << 32 | g, d, s, p, t)
         of = (mix(m[:, 0].view(U64) * U64(3) + m[:, 1].view(U64)) % U64(buckets)).astype(np.int64)
         o = np.argsort(of, kind="stable")
         m, edge = m[o], np.searchsorted(of[o], np.arange(buckets + 1))
@@ -246,7 +246,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str
         m = m[m[:, 2] >= m[:, 3]]
         return pa.table({"doc_a": pa.array(m[:, 0], pa.int64()), "doc_b": pa.array(m[:, 1], pa.int64())})
 
-    packed = reps.mapInArrow(entries, "bucket int, g binary, d binary, s binary, p binary")
+    packed = reps.mapInArrow(entries, "bucket int, g binary, level binary, d binary, s binary, p binary")
     met = packed.groupBy("bucket").applyInArrow(pair, "bucket int, a binary, b binary, n binary, l binary")
     pairs = cut(met.groupBy("bucket").applyInArrow(enough, "doc_a long, doc_b long"), "candidates")
 
@@ -281,14 +281,16 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str
 
 
 def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
+    """Entries by bucket. A gram travels as its level and 32 bits beside those that chose the bucket: a collision can only add a meeting, and so a candidate."""
     g, d, s, p = (np.concatenate([h[k] for h in held]) for k in range(4))
-    of = ((g & _LOW56) % U64(buckets)).astype(np.int32)
+    low = g & _LOW56
+    of = (low % U64(buckets)).astype(np.int32)
     o = np.argsort(of, kind="stable")
-    g, d, s, p, of = g[o].astype("<u8"), d[o].astype("<i8"), s[o].astype("<i4"), p[o].astype("<i4"), of[o]
-    edge = np.searchsorted(of, np.arange(buckets + 1))
+    cols = ((low // U64(buckets))[o].astype("<u4"), (g >> U64(56))[o].astype("u1"), d[o].astype("<i8"), s[o].astype("<i4"), p[o].astype("<i4"))
+    edge = np.searchsorted(of[o], np.arange(buckets + 1))
     some = [k for k in range(buckets) if edge[k] < edge[k + 1]]
-    cols = [pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary()) for x in (g, d, s, p)]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *cols], names=["bucket", "g", "d", "s", "p"])
+    packed = [pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary()) for x in cols]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], names=["bucket", "g", "level", "d", "s", "p"])
 
 
 def similar(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
