@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm import bpe, decontaminate, ngram_join, quality, reshard, secrets, suffix_dedup, tokenids, warc
+from lorespark.llm import bpe, decontaminate, ngram_join, pii, quality, reshard, secrets, suffix_dedup, tokenids, warc
 from lorespark.llm.common import read
 
 
@@ -44,7 +44,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_pii_spans": op2_pii_spans,
     "op3_decontaminate": op3_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
