@@ -35,7 +35,7 @@ from lorespark.llm.ngram_join import _small, text_classes
 LENGTH = 50
 GRAM = 10
 MOST_BROADCAST = 4_000_000  # repeated anchors of which every executor gets a copy; more are joined by document
-BUCKET_BYTES = 4 << 20  # text for which there is one partition of suffixes
+BUCKET_BYTES = 1 << 20  # text for which there is one partition of suffixes
 _LOW = U64((1 << 28) - 1)
 
 
@@ -269,7 +269,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gap = re.compile(rb"\0+")
-        for b in batches:
+        for b in (big.slice(at, 1024) for big in batches for at in range(0, big.num_rows, 1024)):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             rep = known.value if known is not None else np.unique(b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
             held = []
