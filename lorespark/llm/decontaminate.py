@@ -231,12 +231,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
     """The rows that hold no item, with all their columns."""
-    for shipped in _batches(benchmark, rate):
-
+    def cleaner(shipped):
         @F.arrow_udf("boolean")
-        def clean(col: pa.Array, shipped=shipped) -> pa.Array:
+        def clean(col: pa.Array) -> pa.Array:
             hit = {r for r, *_ in _ready(shipped, rate).matches(col)}
             return pa.array([i not in hit for i in range(len(col))])
 
-        docs = docs.filter(clean(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+        return clean
+
+    for shipped in _batches(benchmark, rate):
+        docs = docs.filter(cleaner(shipped)(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     return docs
