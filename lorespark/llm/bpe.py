@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.llm.common import forget, keeps
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 REMEMBERED = 500_000  # pieces in each of two generations
 LONGEST_REMEMBERED = 48
@@ -144,11 +146,12 @@ class Bpe(dict):
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_READY: dict[str, Bpe] = {}
+_READY: dict[str, Bpe] = keeps({})
 
 
 def coder(ranks: dict[bytes, int], key: str) -> Bpe:
     """One encoder per worker process, kept between tasks."""
+    forget(_READY)
     if key not in _READY:
         _READY[key] = Bpe(ranks)
     return _READY[key]

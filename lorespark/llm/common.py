@@ -7,6 +7,7 @@ definition is closed over UTF-8 bytes, so that numpy finds and hashes all words
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # what the table was made from is garbage now; collecting it lets Spark delete its shuffle files
     _CUTS.setdefault(spark.sparkContext.applicationId, []).append((_SCOPE[0], path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,6 +80,21 @@ def leave_scopes(spark: SparkSession, prefix: str) -> None:
         _CUTS[app].remove((scope, path))
 
 
+#: What worker processes keep between tasks, by operator; a worker that turns to another operator lets it go.
+KEPT: list[dict] = []
+
+
+def keeps(cache: dict) -> dict:
+    KEPT.append(cache)
+    return cache
+
+
+def forget(*but: dict) -> None:
+    for cache in KEPT:
+        if not any(cache is b for b in but):
+            cache.clear()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -86,11 +104,6 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Splits whole-text work evenly: no-op for many input splits, round-robin for a few files on many cores."""
-    return df
-
-
 # --------------------------------------------------------------------------------------------- byte tables
 _FOLD = np.zeros(256, np.uint8)
 for _b in range(256):

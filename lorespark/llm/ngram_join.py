@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import SQL_WORDS, U64, cut, drop_cut, grams, mix, word_chunks
+from lorespark.llm.common import SQL_WORDS, U64, cut, drop_cut, forget, grams, mix, word_chunks
 
 N = 2
 THRESHOLD = 0.6
@@ -48,6 +48,7 @@ def gram_levels(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     part = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(1 << bits, np.int64)
         for b in batches:
             for w in word_chunks(b.column(0)):
@@ -98,7 +99,7 @@ def need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
-def bucket_pairs(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float, flush: int = 4_000_000) -> np.ndarray:
+def bucket_pairs(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float, flush: int = 500_000) -> np.ndarray:
     """Pairs that meet among the prefix entries of some grams: rows of two ids (the lesser first), meetings here, meetings needed."""
     o = np.lexsort((size, gram))
     gram, doc, size, pos = gram[o], doc[o], size[o].astype(np.int64), pos[o].astype(np.int64)
@@ -158,7 +159,7 @@ def verify(pairs: np.ndarray, sets: dict[int, np.ndarray], t: float) -> tuple[np
         row, shared = np.repeat(np.arange(len(ids)), size), n[local] > 1
         slot = np.cumsum(n > 1) - 1
         local, row, width = slot[local[shared]], row[shared], int((n > 1).sum())
-        over, step = np.zeros(len(pairs), np.int64), max(1, min(512, 40_000_000 // max(1, len(ids))))
+        over, step = np.zeros(len(pairs), np.int64), max(1, min(512, 8_000_000 // max(1, len(ids))))
         order = np.argsort(local, kind="stable")
         local, row = local[order], row[order]
         for k in range(0, width, step):  # columns in blocks, so that memory is bounded
@@ -184,11 +185,11 @@ def verify(pairs: np.ndarray, sets: dict[int, np.ndarray], t: float) -> tuple[np
 
 def _block_overlap(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     rows = np.unique(a)
-    if len(rows) * len(x) <= 20_000_000 and len(a) * 8 > len(rows) * len(x) // 8:
+    if len(rows) * len(x) <= 4_000_000 and len(a) * 8 > len(rows) * len(x) // 8:
         return (x[rows] @ x.T)[np.searchsorted(rows, a), b].astype(np.int64)
     out = np.empty(len(a), np.int64)
-    for i in range(0, len(a), 20_000):
-        out[i : i + 20_000] = np.einsum("ij,ij->i", x[a[i : i + 20_000]], x[b[i : i + 20_000]]).astype(np.int64)
+    for i in range(0, len(a), 5_000):
+        out[i : i + 5_000] = np.einsum("ij,ij->i", x[a[i : i + 5_000]], x[b[i : i + 5_000]]).astype(np.int64)
     return out
 
 
@@ -196,8 +197,16 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, rep): every id whose text has a word, and the least id with the same text."""
     t = F.col(f"`{text_col}`")
     small = docs.filter(t.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]") & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.sha2(t, 256).alias("digest"))
-    one = cut(small.groupBy("doc_id").agg(F.min("digest").alias("digest")), "digests")
-    return cut(one.join(one.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep", "digest"), "classes")
+    one = cut(small.groupBy("doc_id").agg(F.min("digest").alias("digest"), (F.min("digest") != F.max("digest")).alias("mixed")), "digests")
+    return cut(one.join(one.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep", "digest", "mixed"), "classes")
+
+
+def named_texts(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of the rows with an id and a text; where ids have several texts, only those that stand for them."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    if classes.filter("mixed").limit(1).count():
+        texts = texts.withColumn("digest", F.sha2("text", 256)).join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "text")
+    return texts
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -208,14 +217,15 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str
     """(doc_a, doc_b, jaccard): all pairs of distinct texts with similarity t or more, doc_a < doc_b, by least ids; no copies."""
     spark: SparkSession = docs.sparkSession
     classes = text_classes(docs, id_col, text_col) if classes is None else classes
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = named_texts(docs, classes, id_col, text_col)
     other = classes.filter("doc_id <> rep").select("doc_id")
     reps = texts.join(_small(other, other.count()), "doc_id", "left_anti")
     text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     levels = spark.sparkContext.broadcast(gram_levels(reps, n, _table_bits(text_bytes)))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / 6 * (1 - t) / 1_000_000))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / 6 * (1 - t) / 500_000))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, count = [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -225,7 +235,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str
                 take = pos < prefix_length(size, t)[d]
                 held.append((g[take], ids[at + d[take]], size[d[take]], pos[take]))
                 count += int(take.sum())
-                if count > 1_500_000:
+                if count > 600_000:
                     yield _packed(held, buckets)
                     held, count = [], 0
         if held:
@@ -327,7 +337,8 @@ def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "d
     again = cut(docs.filter(key.isNotNull()).groupBy(key.cast("long").alias("again_")).count().filter("count > 1").select("again_"), "again")
     k = again.count()
     if k:
-        once = rows.join(_small(again, k), F.col("id_") == F.col("again_"), "left_semi").dropDuplicates(["id_"])
+        first = Window.partitionBy("id_").orderBy(F.sha2(F.col("row")[text_col], 256), F.to_json("row"))
+        once = rows.join(_small(again, k), F.col("id_") == F.col("again_"), "left_semi").withColumn("k_", F.row_number().over(first)).filter("k_ = 1").select("row", "id_")
         rows = rows.join(_small(again, k), F.col("id_") == F.col("again_"), "left_anti").unionByName(once)
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

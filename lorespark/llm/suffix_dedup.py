@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import _FOLD, SQL_WORDS, U64, Words, cut, mix, powers, word_chunks
-from lorespark.llm.ngram_join import _small, text_classes
+from lorespark.llm.common import _FOLD, SQL_WORDS, U64, Words, cut, forget, mix, powers, word_chunks
+from lorespark.llm.ngram_join import _small, named_texts, text_classes
 
 LENGTH = 50
 GRAM = 10
@@ -166,6 +166,10 @@ def repeated_windows(table: pa.Table, length: int = LENGTH) -> tuple[np.ndarray,
     suffix, offset = first[run] + at, off[run] - at  # offset: from the window's start to its anchor
     o = np.lexsort((start[run] + at, doc[run], offset, anchor[run]))
     run, at, suffix, offset = run[o], at[o], suffix[o], offset[o]
+    if len(run):  # rows repeated with the same id
+        place = start[run] + at
+        once = np.concatenate([[True], (doc[run][1:] != doc[run][:-1]) | (place[1:] != place[:-1]) | (anchor[run][1:] != anchor[run][:-1])])
+        run, at, suffix, offset = run[once], at[once], suffix[once], offset[once]
     same = np.concatenate([[False], (anchor[run][1:] == anchor[run][:-1]) & (offset[1:] == offset[:-1])]) if len(run) else np.zeros(0, bool)
     group = np.cumsum(~same)
     order, equal = sort_suffixes(h, suffix, group, length)
@@ -217,7 +221,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
     """(doc_id, start_word, n_words, removable_words) of all passages of ``length`` words or more that occur twice or more."""
     spark = docs.sparkSession
     classes = text_classes(docs, id_col, text_col)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = named_texts(docs, classes, id_col, text_col)
     other = classes.filter("doc_id <> rep").select("doc_id")
     n_other = other.count()
     reps = texts.join(_small(other, n_other), "doc_id", "left_anti")
@@ -225,6 +229,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / BUCKET_BYTES))
 
     def exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -302,7 +307,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
         doc, start, later = doc[o], start[o], later[o]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (later[1:] != later[:-1]) | (start[1:] > start[:-1] + 1)]) if len(doc) else np.zeros(0, bool)
         head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(doc)) - 1
+        tail = np.append(head[1:], len(doc))[: len(head)] - 1
         return pa.table({"doc_id": pa.array(doc[head], pa.int64()), "start": pa.array(start[head], pa.int64()), "stop": pa.array(start[tail] + length, pa.int64()), "later": pa.array(later[head])})
 
     run_schema = "bucket int, anchor binary, doc binary, start binary, count binary, off binary, words binary"

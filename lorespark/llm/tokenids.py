@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.bpe import VOCABULARY, _shipped
-from lorespark.llm.common import cut, id_text
+from lorespark.llm.common import cut, id_text, keeps
 
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)  # control byte -> four lengths
@@ -58,7 +58,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-_ENCODERS: dict = {}
+_ENCODERS: dict = keeps({})
 
 
 def _tokenizer(ranks: dict[bytes, int], key: str):
