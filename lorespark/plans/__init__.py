@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("retrieval", "telemetry")
+
 
 def register() -> None:
     """Imports the modules that register queries."""
+    for m in MODULES:
+        importlib.import_module(f"lorespark.plans.{m}")
