@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "telemetry")
+MODULES = ("retrieval", "telemetry", "resolve")
 
 
 def register() -> None:
