@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -204,6 +205,35 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(g), doc
 
 
+# --------------------------------------------------------------------------------------------- compact integers
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of one length, of integers, as byte planes under zstd: small and similar numbers take little room in a shuffle."""
+    n, head, planes = len(columns[0]), [], []
+    for x in columns:
+        v = np.ascontiguousarray(x).astype("<i8").view("<u8")
+        head.append(max(1, (int(v.max()).bit_length() + 7) // 8) if n else 1)
+        planes.append(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, : head[-1]].T).tobytes())
+    return struct.pack(f"<I{len(head)}B", n, *head) + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def stretch(blob, columns: int) -> list[np.ndarray]:
+    """What :func:`squeeze` was given, as signed 64-bit integers."""
+    view = memoryview(blob)
+    n, *head = struct.unpack_from(f"<I{columns}B", view)
+    raw, at, out = np.frombuffer(pa.decompress(view[4 + columns :], decompressed_size=n * sum(head), codec="zstd", asbytes=True), np.uint8), 0, []
+    for width in head:
+        v = np.zeros((n, 8), np.uint8)
+        v[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        out.append(v.view("<i8").ravel())
+        at += n * width
+    return out
+
+
+def deltas(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first number as it is; undone by a cumulative sum."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 # --------------------------------------------------------------------------------------------- the same, one text at a time
 def plain_words(text: str | None) -> list[str]:
     """Reference definition of the words above, for tests and small inputs."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import SQL_WORDS, U64, cut, drop_cut, forget, grams, mix, word_chunks
+from lorespark.llm.common import SQL_WORDS, U64, cut, deltas, drop_cut, forget, grams, mix, squeeze, stretch, word_chunks
 
 N = 2
 THRESHOLD = 0.6
@@ -242,22 +242,22 @@ def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str
             yield _packed(held, buckets)
 
     def pair(table: pa.Table) -> pa.Table:
-        g, level, d, s, p = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) for c, k in (("g", "<u4"), ("level", "u1"), ("d", "<i8"), ("s", "<i4"), ("p", "<i4")))
-        m = bucket_pairs(level.astype(np.int64) << 32 | g, d, s, p, t)
-        of = (mix(m[:, 0].view(U64) * U64(3) + m[:, 1].view(U64)) % U64(buckets)).astype(np.int64)
-        o = np.argsort(of, kind="stable")
+        parts = [stretch(x.as_buffer(), 5) for x in table.column("packed")]
+        d, s, p, level, g = (np.concatenate([np.cumsum(x[k]) if k == 0 else x[k] for x in parts]) for k in range(5))
+        m = bucket_pairs(level << 32 | g, d, s, p, t)
+        of = (mix(np.ascontiguousarray(m[:, 0]).view(U64)) % U64(buckets)).astype(np.int64)
+        o = np.argsort(of, kind="stable")  # all pairs of a document go to one place, sorted
         m, edge = m[o], np.searchsorted(of[o], np.arange(buckets + 1))
-        some = [k for k in range(buckets) if edge[k] < edge[k + 1]]
-        cols = [pa.array([m[edge[k] : edge[k + 1], c].astype(kind).tobytes() for k in some], pa.binary()) for c, kind in enumerate(("<i8", "<i8", "<u4", "<u4"))]
-        return pa.table([pa.array(some, pa.int32()), *cols], names=["bucket", "a", "b", "n", "l"])
+        some = np.flatnonzero(np.diff(edge))
+        return pa.table([pa.array(some, pa.int32()), pa.array([_pack_pairs(m[edge[k] : edge[k + 1]]) for k in some], pa.binary())], names=["bucket", "packed"])
 
     def enough(table: pa.Table) -> pa.Table:
-        m = add_up(np.stack([np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]).astype(np.int64) for c, k in (("a", "<i8"), ("b", "<i8"), ("n", "<u4"), ("l", "<u4"))], 1))
+        m = add_up(np.concatenate([_unpack_pairs(x.as_buffer()) for x in table.column("packed")]))
         m = m[m[:, 2] >= m[:, 3]]
         return pa.table({"doc_a": pa.array(m[:, 0], pa.int64()), "doc_b": pa.array(m[:, 1], pa.int64())})
 
-    packed = reps.mapInArrow(entries, "bucket int, g binary, level binary, d binary, s binary, p binary")
-    met = packed.groupBy("bucket").applyInArrow(pair, "bucket int, a binary, b binary, n binary, l binary")
+    packed = reps.mapInArrow(entries, "bucket int, packed binary")
+    met = packed.groupBy("bucket").applyInArrow(pair, "bucket int, packed binary")
     pairs = cut(met.groupBy("bucket").applyInArrow(enough, "doc_a long, doc_b long"), "candidates")
 
     both = pairs.unionByName(pairs.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
@@ -295,12 +295,31 @@ def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
     g, d, s, p = (np.concatenate([h[k] for h in held]) for k in range(4))
     low = g & _LOW56
     of = (low % U64(buckets)).astype(np.int32)
-    o = np.argsort(of, kind="stable")
-    cols = ((low // U64(buckets))[o].astype("<u4"), (g >> U64(56))[o].astype("u1"), d[o].astype("<i8"), s[o].astype("<i4"), p[o].astype("<i4"))
+    o = np.lexsort((p, d, of))
+    cols = (d[o].astype(np.int64), s[o], p[o], (g >> U64(56))[o], (low // U64(buckets) & U64(0xFFFFFFFF))[o])
     edge = np.searchsorted(of[o], np.arange(buckets + 1))
-    some = [k for k in range(buckets) if edge[k] < edge[k + 1]]
-    packed = [pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary()) for x in cols]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], names=["bucket", "g", "level", "d", "s", "p"])
+    some = np.flatnonzero(np.diff(edge))
+    packed = [squeeze(deltas(cols[0][edge[k] : edge[k + 1]]), *(x[edge[k] : edge[k + 1]] for x in cols[1:])) for k in some]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+
+def _pack_pairs(m: np.ndarray) -> bytes:
+    """Sorted pairs: differences of the first ids, and of the second ids under one first id."""
+    a, b = m[:, 0], m[:, 1]
+    step = b - a
+    same = np.flatnonzero(a[1:] == a[:-1]) + 1
+    step[same] = b[same] - b[same - 1]
+    return squeeze(deltas(a), step, m[:, 2], m[:, 3])
+
+
+def _unpack_pairs(blob) -> np.ndarray:
+    da, step, n, l = stretch(blob, 4)
+    a, run = np.cumsum(da), np.cumsum(step)
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    first = np.flatnonzero(new)
+    b = run - np.repeat(run[first] - step[first] - a[first], np.diff(np.append(first, len(a))))
+    return np.stack([a, b, n, l], 1)
 
 
 def similar(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -249,3 +249,17 @@ def test_pipeline_keeps_columns_and_survives_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, d, str(tmp_path)).columns == d.columns
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_packed_pairs_and_columns_come_back():
+    from lorespark.llm.common import squeeze, stretch
+    from lorespark.llm.ngram_join import _pack_pairs, _unpack_pairs
+
+    r = np.random.default_rng(3)
+    m = np.unique(np.sort(r.integers(-50, 10**12, (500, 2)), 1), axis=0)
+    m = np.concatenate([m, [[10**13, 10**13 + k] for k in range(1, 60)]])
+    m = np.concatenate([m, r.integers(1, 900, (len(m), 2))], 1).astype(np.int64)
+    assert (_unpack_pairs(_pack_pairs(m)) == m).all()
+    x, y = np.array([-1, 0, 2**62]), np.array([7, 7, 7])
+    assert [list(c) for c in stretch(squeeze(x, y), 2)] == [list(x), list(y)]
+    assert [list(c) for c in stretch(squeeze(x[:0], y[:0]), 2)] == [[], []]
