@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "telemetry", "resolve", "graph", "changes", "guard")
+MODULES = ("retrieval", "telemetry", "resolve", "graph", "changes", "guard", "evaluate", "relational")
 
 
 def register() -> None:
