@@ -158,7 +158,7 @@ def from_facts(facts: DataFrame, doc: str, domain: str) -> DataFrame:
     order = F.row_number().over(Window.orderBy(F.col("salience").desc(), "entity"))  # entities only: far fewer than facts
     e = e.withColumn("place", order)
     rows = [
-        e.select(F.struct(F.col("place").alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("c"), F.lit("").alias("d")).alias("o"), F.lit(1).alias("depth"), F.concat(F.lit("ENTITY-"), "entity").alias("section"), F.lit("section").alias("node_type"), F.concat(F.lit("ENTITY-"), "entity").alias("key"), F.lit("").alias("value")),
+        e.select(F.struct(F.col("place").alias("a"), F.lit(-1e9).alias("b"), F.lit(0).alias("c"), F.lit("").alias("d")).alias("o"), F.lit(1).alias("depth"), F.concat(F.lit("ENTITY-"), "entity").alias("section"), F.lit("section").alias("node_type"), F.concat(F.lit("ENTITY-"), "entity").alias("key"), F.lit("").alias("value")),
         fields.join(e.select("entity", "place"), "entity").select(F.struct(F.col("place").alias("a"), (-F.col("s_")).alias("b"), (F.col("ord") + 1).alias("c"), F.col("path").alias("d")).alias("o"), F.lit(2).alias("depth"), F.concat(F.lit("ENTITY-"), "entity").alias("section"), F.lit("pair").alias("node_type"), "key", "value"),
     ]
     body = rows[0].unionByName(rows[1])
