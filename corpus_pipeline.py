@@ -43,7 +43,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, n_tokens, token_ids, round_trip) of all documents."""
     kept = [c for c in ("doc_id", "source", "lang", "text") if c in docs.columns]
-    return bpe.add_tokens(docs.select(*kept)).drop("text")
+    return bpe.add_tokens(docs.select(*kept), keep_text=False)
 
 
 def _stage(name: str, f):

@@ -164,13 +164,15 @@ def _shipped(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(ranks), key
 
 
-def add_tokens(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """``docs`` with token_ids (array<int>), n_tokens and round_trip (whether decoding gives the text again)."""
+def add_tokens(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with token_ids (array<int>), n_tokens and round_trip (whether decoding gives the text again).
+
+    Without ``keep_text`` the text goes to Python once and does not come back.
+    """
     ranks, key = _shipped(docs, path)
     results = ("token_ids", "n_tokens", "round_trip")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in results]
-    source = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    names = [c for c in docs.columns if c not in results]
+    names = [c for c in docs.columns if c not in results and (keep_text or c != text_col)]
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks.value, key)
@@ -197,7 +199,7 @@ def add_tokens(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text")
 
 def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip): only the id and the text are read."""
-    return add_tokens(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), path).drop("text")
+    return add_tokens(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), path, keep_text=False)
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY, ids_col: str = "token_ids", out_col: str = "text") -> DataFrame:
