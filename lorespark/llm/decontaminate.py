@@ -1,14 +1,13 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: two exact filters over item-sized windows, then the edit distance of every window left.
 
 A document is contaminated by an item of m words if a window of m of its words is within floor(RATE * m) word edits of
-the item. The CGK random walk maps a window to 3m words so that edit distance becomes Hamming distance: at each step it
-emits the current word and advances by a random bit of (step, word). Sampled coordinates of the walk are hash keys; a
-window and an item that agree in all coordinates of any sample are a candidate, and independent walks and samples are
-repeated until the chance to miss a window at the largest distance is small. Candidates are verified by edit distance.
+the item. Two filters leave few windows, and neither can lose a match: an item is cut into floor(RATE * m) + 1 pieces, of
+which a match leaves one intact, so only windows around an intact piece are looked at; and a match shares
+m - floor(RATE * m) words with the item. All windows that pass are verified by edit distance, so none is missed at any
+length of the item.
 
-Embedding every window of every item length costs more than reading the text many times over, so two exact filters come
-first; neither can lose a match. An item is cut into floor(RATE * m) + 1 pieces, of which a match leaves one intact, so
-only windows around an intact piece are looked at; and a match shares m - floor(RATE * m) words with the item.
+Keys of CGK walks (:func:`cgk_keys`) used to choose among the windows that pass; they are not asked any more, as a fixed
+number of them misses more windows at the largest distance the longer the item is.
 
 Only the benchmark is sent to the executors, at most ``ITEMS_AT_ONCE`` items in one scan of the documents; there is no shuffle.
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import U64, Words, forget, id_text, keeps, mix, powers, word_chunks
 
 RATE = 0.2
-WALKS, SAMPLES, COORDINATES = 8, 4, 3
+WALKS, SAMPLES, COORDINATES = 8, 4, 3  # of cgk_keys
 ITEMS_AT_ONCE = 50_000
 
 
@@ -65,22 +64,20 @@ def cgk_keys(windows: np.ndarray, walks: int = WALKS, samples: int = SAMPLES, co
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Word edit distance of row i of a to row i of b, same widths; ``most`` + 1 stands for anything larger. Banded."""
     n, m = a.shape
-    big = most + 1
-    row = np.full((n, 2 * most + 3), big, np.int32)  # column k is the place j = i + k - most - 1 in b
-    row[:, most + 1 : 2 * most + 2] = np.arange(most + 1)
+    big, width = most + 1, 2 * most + 1
+    k = np.arange(width, dtype=np.int32)  # column k is the place j = i + k - most in b
+    row = np.repeat(np.where((k >= most) & (k - most <= m), k - most, big).astype(np.int32)[None], n, 0)
+    padded = np.pad(b, ((0, 0), (most, most)))
     for i in range(1, m + 1):
-        new = np.full_like(row, big)
-        for k in range(1, 2 * most + 2):
-            j = i + k - most - 1
-            if j < 0 or j > m:
-                continue
-            if j == 0:
-                new[:, k] = min(i, big)
-                continue
-            change = row[:, k] + (a[:, i - 1] != b[:, j - 1])
-            new[:, k] = np.minimum(np.minimum(change, row[:, k + 1] + 1), np.minimum(new[:, k - 1] + 1, big))
-        row = new
-    return row[:, most + 1]
+        new = row + (a[:, i - 1 : i] != padded[:, i - 1 : i - 1 + width])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        if i <= most:
+            new[:, : most - i] = big
+            new[:, most - i] = i
+        # from the left: the least of new[k'] + k - k' over k' <= k
+        row = np.minimum(np.minimum.accumulate(new - k, 1) + k, big).astype(np.int32)
+        row[:, m + most - i + 1 :] = big
+    return row[:, most]
 
 
 class Benchmark:
@@ -111,13 +108,6 @@ class Benchmark:
             table[(value & U64((1 << 20) - 1)).astype(np.int64)] = True
             self.seeds[k] = (value, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), table)
         self.bags = [np.unique(h) for h in self.words]
-        self.by_size: dict[int, np.ndarray] = {}
-        for x, h in enumerate(self.words):
-            self.by_size.setdefault(len(h), []).append(x)
-        self.keys = {}
-        for m, xs in self.by_size.items():
-            for x, key in zip(xs, cgk_keys(np.stack([self.words[x] for x in xs]))):
-                self.keys[x] = key
 
     def candidates(self, w: Words) -> list[tuple[int, int, np.ndarray]]:
         """(item, document in the chunk, window starts) that pass the two exact filters."""
@@ -165,15 +155,12 @@ class Benchmark:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for m, parts in by_size.items():
             x, row, start, win = (np.concatenate([p[c] for p in parts]) for c in range(4))
-            for at in range(0, len(x), 50_000):
-                part = slice(at, at + 50_000)
-                same = (cgk_keys(win[part]) == np.stack([self.keys[i] for i in x[part].tolist()])).any(1)
-                if not same.any():
-                    continue
-                xs, rows, starts = x[part][same], row[part][same], start[part][same]
-                most = allowed(m, self.rate)
-                dist = edit_distance(win[part][same], np.stack([self.words[i] for i in xs.tolist()]), most)
-                for i, r, s, e in zip(xs.tolist(), rows.tolist(), starts.tolist(), dist.tolist()):
+            most = allowed(m, self.rate)
+            step = max(1, 4_000_000 // (m + 2 * most + 1))
+            for at in range(0, len(x), step):
+                xs, rows, starts = (c[at : at + step].tolist() for c in (x, row, start))
+                dist = edit_distance(win[at : at + step], np.stack([self.words[i] for i in xs]), most)
+                for i, r, s, e in zip(xs, rows, starts, dist.tolist()):
                     if e <= most and (e, s) < best.get((r, i), (most + 1, 0)):
                         best[r, i] = (e, s)
         return sorted((r, i, s, e) for (r, i), (e, s) in best.items())

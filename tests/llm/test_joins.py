@@ -193,6 +193,29 @@ def test_recall_against_brute_force():
     assert all(brute_leak(texts[row], items[i][1]) is not None for row, i in got)
 
 
+def test_all_found_at_the_largest_distance():
+    r = random.Random(16)
+    for m in (100, 150, 200, 300):
+        most = decontaminate.allowed(m)
+        items = [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(m))) for k in range(30)]
+        texts = []
+        for k, text in items:
+            w = text.split()
+            if k % 2:  # as many words out as in
+                for i in sorted(r.sample(range(m), most // 2), reverse=True):
+                    del w[i]
+                for i in sorted(r.sample(range(len(w)), most // 2), reverse=True):
+                    w.insert(i, f"q{r.randrange(10**6)}")
+            else:
+                for i in r.sample(range(m), most):
+                    w[i] = f"q{r.randrange(10**6)}"
+            texts.append(f"{cases.prose(r.randrange(10**6), 15)} {' '.join(w)} {cases.prose(r.randrange(10**6), 15)}")
+        got = {(row, i): (e, s) for row, i, s, e in decontaminate.Benchmark(items).matches(pa.array(texts))}
+        assert set(got) == {(k, k) for k in range(30)}
+        if m == 100:
+            assert all(got[k, k] == brute_leak(texts[k], items[k][1]) for k in range(30))
+
+
 def test_edit_distance_is_exact():
     r = random.Random(7)
     for _ in range(200):
