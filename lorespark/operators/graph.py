@@ -74,13 +74,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, boost: Da
         return known.withColumn("score", F.lit(0.0))
     sinks = known.join(w.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("sink", F.lit(True))
     rank = cut(known.join(sinks, "node", "left").select("node", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("score")), "rank")
-    for k in range(rounds):
+    for _ in range(rounds):
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0)).alias("lost"))
         got = w.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
         nxt = rank.drop("score").join(got, "node", "left").crossJoin(F.broadcast(lost))  # one row
         rank = nxt.select("node", "sink", (F.lit((1 - DAMPING) / n) + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
-        if k % 5 == 4 or k == rounds - 1:
-            rank = cut(rank, "rank")
+        rank = cut(rank, "rank")  # each round reads it three times
     return rank.select("node", "score")
 
 

@@ -67,7 +67,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("pagerank", _pagerank_sql(5))
 def pagerank(spark, d):
-    return G.pagerank(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), _links(spark, d), 5).withColumn("score", F.round("score", 9))
+    return G.pagerank(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), _links(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query("topology", f"""

@@ -71,3 +71,21 @@ def test_depth_one_of_all_orders(spark, tables):
                 break
             want.add((start, node, place))
     assert ran(spark, d, "depth_one") == want
+
+
+def test_pagerank_runs_thirty_rounds(spark, tables):
+    d, suppliers, items = tables
+    links, nodes = brute_links(items), [k for k, _ in suppliers]
+    out = defaultdict(list)
+    for a, b in links:
+        out[a].append(b)
+    score = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(30):
+        lost = sum(score[k] for k in nodes if not out[k])
+        nxt = dict.fromkeys(nodes, 0.15 / len(nodes) + 0.85 * lost / len(nodes))
+        for a, x in out.items():
+            for b in x:
+                nxt[b] += 0.85 * score[a] / len(x)
+        score = nxt
+    got = dict(ran(spark, d, "pagerank"))
+    assert got.keys() == score.keys() and all(abs(got[k] - score[k]) < 2e-9 for k in nodes)
