@@ -13,10 +13,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests on one machine."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset and driver and executors are one process, as in tests."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master", "").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lorespark-")
