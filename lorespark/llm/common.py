@@ -6,10 +6,7 @@ definition is closed over UTF-8 bytes, so that numpy finds and hashes all words
 
 from __future__ import annotations
 
-import atexit
-import gc
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,24 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions.cuts import shared_folder
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 
 _CUTS: dict[str, list[tuple[str, str]]] = {}
-_OWN: dict[str, str] = {}
 
 
-# --------------------------------------------------------------------------------------------- shared storage
+# ----- shared storage
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="lorespark-")
-        atexit.register(lambda d=_OWN[app]: __import__("shutil").rmtree(d, ignore_errors=True))
-    return _OWN[app]
+    """The folder that all executors share: see :func:`lorespark.functions.cuts.shared_folder`."""
+    return shared_folder(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -52,8 +43,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # what the table was made from is garbage now; collecting it lets Spark delete its shuffle files
     _CUTS.setdefault(spark.sparkContext.applicationId, []).append((_SCOPE[0], path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -96,6 +85,11 @@ def forget(*but: dict) -> None:
             cache.clear()
 
 
+def partitions_for(spark: SparkSession, nbytes: int) -> int:
+    """Partitions for a shuffle that follows ``nbytes`` of text: as many as the session asks for, one for 32 MB at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // (32 << 20)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -105,7 +99,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
-# --------------------------------------------------------------------------------------------- byte tables
+# ----- byte tables
 _FOLD = np.zeros(256, np.uint8)
 for _b in range(256):
     _c = chr(_b)
@@ -205,7 +199,7 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(g), doc
 
 
-# --------------------------------------------------------------------------------------------- compact integers
+# ----- compact integers
 def squeeze(*columns: np.ndarray) -> bytes:
     """Columns of one length, of integers, as byte planes under zstd: small and similar numbers take little room in a shuffle."""
     n, head, planes = len(columns[0]), [], []
@@ -229,12 +223,20 @@ def stretch(blob, columns: int) -> list[np.ndarray]:
     return out
 
 
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value of each run of equal neighbours, where the runs begin, with the end)."""
+    if not len(x):
+        return x, np.zeros(1, np.int64)
+    first = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+    return x[first], np.append(first, len(x))
+
+
 def deltas(x: np.ndarray) -> np.ndarray:
     """Differences of neighbours, the first number as it is; undone by a cumulative sum."""
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-# --------------------------------------------------------------------------------------------- the same, one text at a time
+# ----- the same, one text at a time
 def plain_words(text: str | None) -> list[str]:
     """Reference definition of the words above, for tests and small inputs."""
     import re

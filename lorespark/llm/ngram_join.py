@@ -7,17 +7,21 @@ documents of every gram under the length filter (sizes differ by no more than t
 follows the shared gram can still reach the needed overlap). Pairs that met l times are brought together with their whole
 sets once, by the smallest partner that they share, cut by the suffix filter and verified exactly.
 
-The order needs frequencies over the whole corpus. They are counted in a hashed table whose size follows the input; any
-order that all documents share gives the exact result, the counts only keep common grams out of the prefixes.
+The order needs the document frequency of every gram. Packets of documents send their grams, cut to as many bits as the
+corpus needs, to the bucket that counts each gram, and get a byte of rarity for each back: two shuffles of a few bytes a
+gram, and no table that grows with the corpus on any worker. Grams that the cut makes equal only share a rank; any order
+that all documents share gives the exact result.
 
-Equal texts are one class: only its least id is joined, and the other members are paired with that one alone. The pairs of
-the classes' other members follow from these (the members of two classes are as similar as their least ids), so that
-thousands of copies give thousands of rows, not millions.
+Hot groups are split. The documents of a gram that more than ``HOT`` documents hold fall into blocks, and every two blocks
+meet on their own; so do the documents of a key that more than ``BLOCK`` documents are verified under. Tasks give their
+pairs away as they go; what leaves verification is a count of links for each document and a spanning forest.
 
-Cases: null and empty texts, and texts without a word, have no grams and are in no pair. Fewer words than n make one
-gram. Rows with a null id cannot be named and are in no pair; :func:`keep_one` keeps them. Repeated rows count once; an id with several texts
-stands for the one with the least digest. Very long texts are whole sets. Extra columns are ignored, whatever their
-names. An empty table gives an empty result.
+Equal texts are one class of which only the least id is joined, so thousands of copies cost as much as one text.
+
+Cases: null and empty texts, and texts without a word, have no grams and no links. Fewer words than n make one gram. Ids
+must be integers or cast to them. Rows with a null id cannot be named and have no row; :func:`keep_one` keeps them.
+Repeated rows count once; an id with several texts stands for the one with the least digest. Very long texts are whole
+sets. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,59 +34,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import SQL_WORDS, U64, cut, deltas, drop_cut, forget, grams, mix, squeeze, stretch, word_chunks
+from lorespark.llm.common import SQL_WORDS, U64, cut, deltas, drop_cut, forget, grams, mix, partitions_for, runs_of, squeeze, stretch, word_chunks
 
 N = 2
 THRESHOLD = 0.6
 MOST_BROADCAST = 2_000_000  # ids of which every executor gets a copy; more are joined by a shuffle
-_LOW56 = U64((1 << 56) - 1)
+PACKET = 1_000_000  # grams of the documents that are ranked together
+HOT = 8_192  # documents of one gram that are paired in one group
+BLOCK = 256  # documents of one key that are verified in one group
 
 
-def _table_bits(text_bytes: int) -> int:
-    """Size of the frequency table: 2**20 counters up to a GB of text, one bit more for each doubling, 2**26 at most."""
-    return int(min(26, max(20, math.ceil(math.log2(max(1, text_bytes) / 1e9)) + 20)))
+def gram_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, document of each gram, gram, sizes) by chunk; grams are distinct per document and rise."""
+    for w in word_chunks(col):
+        g, d = grams(w, n)
+        o = np.lexsort((g, d))
+        g, d = g[o], d[o]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+        yield w.doc_from, d[new], g[new], np.bincount(d[new], minlength=w.doc_to - w.doc_from)
 
 
-def gram_levels(texts: DataFrame, n: int, bits: int) -> np.ndarray:
-    """For each counter of the table, eight times the logarithm of its count, in one byte: the rarity of its grams."""
-    part = 1 << 16
+def key_bits(grams_: int) -> int:
+    """Bits of a gram that tell nearly all grams of a corpus apart: 12 more than it takes to number them."""
+    return min(56, max(32, math.ceil(math.log2(max(2, grams_))) + 12))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        total = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            for w in word_chunks(b.column(0)):
-                g, _ = grams(w, n)
-                total += np.bincount((g & U64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        chunks = total.astype("<i4").reshape(-1, part) if total.any() else np.zeros((0, part), "<i4")
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "counts"])
-
-    def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(part, np.int64)
-        for b in rows:
-            for x in b.column(1):
-                total += np.frombuffer(x.as_buffer(), "<i4")
-        level = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "levels"])
 
-    got = texts.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, levels binary").collect()
-    levels = np.zeros(1 << bits, np.uint8)
-    for r in got:
-        levels[r["chunk"] * part : (r["chunk"] + 1) * part] = np.frombuffer(r["levels"], np.uint8)
-    return levels
+def ask(reps: DataFrame, n: int, bits: int, buckets: int) -> DataFrame:
+    """(bucket, packet, head, body): the grams of every packet of documents by the bucket that counts them, and each packet's documents."""
+    width = -(-(1 << bits) // buckets)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def ordered_sets(col: pa.Array, n: int, levels: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first document, document of each gram, gram, sizes) by chunk; grams are distinct per document and rare first, since their top byte is the level."""
-    mask = U64(len(levels) - 1)
-    for w in word_chunks(col):
-        g, d = grams(w, n)
-        key = (levels[(g & mask).astype(np.int64)].astype(U64) << U64(56)) | (g & _LOW56)
-        o = np.lexsort((key, d))
-        key, d = key[o], d[o]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
-        yield w.doc_from, d[new], key[new], np.bincount(d[new], minlength=w.doc_to - w.doc_from)
+        forget()
+        task, packet = TaskContext.get().partitionId(), 0
+        ids, sizes, held, docs, count = [], [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            key, doc = np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held])
+            o = np.argsort(key, kind="stable")
+            key, doc = key[o], doc[o]
+            which, edge = runs_of(key // width)
+            name = task << 32 | packet
+            body = [squeeze(deltas(key[x:y]), doc[x:y]) for x, y in zip(edge[:-1], edge[1:])]
+            body.append(squeeze(np.concatenate(ids), np.concatenate(sizes)))
+            bucket = np.append(which, name % buckets)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket, pa.int32()), pa.array([name] * len(body), pa.int64()), pa.array([False] * len(which) + [True]), pa.array(body, pa.binary())],
+                names=["bucket", "packet", "head", "body"],
+            )
+
+        for b in batches:
+            names = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, d, g, size in gram_sets(b.column(1), n):
+                held.append(((g >> U64(64 - bits)).astype(np.int64), (d + docs).astype(np.int32)))
+                ids.append(names[at : at + len(size)])
+                sizes.append(size)
+                docs, count = docs + len(size), count + len(g)
+                if count >= PACKET:
+                    yield flush()
+                    packet, ids, sizes, held, docs, count = packet + 1, [], [], [], 0, 0
+        if held:
+            yield flush()
+
+    return reps.mapInArrow(run, "bucket int, packet long, head boolean, body binary")
+
+
+def rarity(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the grams of a bucket; each request goes back with eight times the logarithm of its grams' counts, in a byte each."""
+    got = [(p.as_py(), h.as_py(), x.as_py()) for b in rows for p, h, x in zip(b.column(1), b.column(2), b.column(3))]
+    keys = [np.cumsum(stretch(x, 2)[0]) for _, h, x in got if not h]
+    every = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    o = np.argsort(every, kind="stable")
+    _, edge = runs_of(every[o])
+    n = np.diff(edge)
+    level = np.empty(len(every), np.uint8)
+    level[o] = np.repeat(np.minimum(255, np.round(8 * np.log2(1 + n))).astype(np.uint8), n)
+    of = iter(np.split(level, np.cumsum([len(k) for k in keys])[:-1]) if keys else [])
+    levels = [None if h else pa.compress(next(of).tobytes(), codec="zstd", asbytes=True) for _, h, _ in got]
+    for i in range(0, len(got), 64):
+        part = got[i : i + 64]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part]), pa.array([x[2] for x in part], pa.binary()), pa.array(levels[i : i + 64], pa.binary())],
+            names=["packet", "head", "body", "levels"],
+        )
+
+
+def prefixes(t: float, buckets: int):
+    """Of a packet whose grams are ranked: the prefix entries of its documents, by gram bucket."""
+
+    def run(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, levels, ids, size = [], [], [], None, None
+        for b in rows:
+            for head, body, level in zip(b.column(1), b.column(2), b.column(3)):
+                x, y = stretch(body.as_buffer(), 2)
+                if head.as_py():
+                    ids, size = x, y
+                else:
+                    keys.append(np.cumsum(x)), docs.append(y)
+                    levels.append(np.frombuffer(pa.decompress(level.as_buffer(), decompressed_size=len(x), codec="zstd", asbytes=True), np.uint8))
+        if ids is None or not keys:
+            return
+        k, d, l = np.concatenate(keys), np.concatenate(docs), np.concatenate(levels)
+        o = np.lexsort((k, l, d))
+        k, d, l = k[o], d[o], l[o]
+        pos = np.arange(len(d)) - (np.cumsum(size) - size)[d]
+        take = pos < prefix_length(size, t)[d]
+        k, d, l, pos = k[take], d[take], l[take], pos[take]
+        yield packed_entries(*split_hot(k, ids[d], size[d], pos, np.exp2(l / 8.0)), buckets)
+
+    return run
+
+
+def split_hot(key: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries (gram, document, size, place, side); where a gram has many holders, one for every block that the document's block meets.
+
+    Side 2 pairs with all of its group, sides 0 and 1 with each other only, so that every two documents meet once.
+    """
+    blocks = np.maximum(1, np.ceil(holders / HOT)).astype(np.int64)
+    many = np.repeat(np.arange(len(key)), blocks)
+    other = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    n = blocks[many]
+    own = (mix(doc[many].view(U64)) % n.astype(U64)).astype(np.int64)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    apart = (mix(key[many].view(U64) ^ mix((low * n + high + 1).view(U64))) >> U64(8)).astype(np.int64)
+    return np.where(n > 1, apart, key[many]), doc[many], size[many], pos[many], np.where(own == other, 2, np.where(own < other, 0, 1)) * (n > 1) + 2 * (n == 1)
+
+
+def packed_entries(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries by bucket of their gram."""
+    of = gram % buckets
+    o = np.lexsort((pos, doc, of))
+    cols = [x[o] for x in (doc, size, pos, side, gram // buckets)]
+    which, edge = runs_of(of[o])
+    body = [squeeze(deltas(cols[0][x:y]), *(c[x:y] for c in cols[1:])) for x, y in zip(edge[:-1], edge[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(body, pa.binary())], names=["bucket", "packed"])
 
 
 def meetings(size: np.ndarray) -> np.ndarray:
@@ -99,30 +186,30 @@ def need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
-def bucket_pairs(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float, flush: int = 500_000) -> np.ndarray:
-    """Pairs that meet among the prefix entries of some grams: rows of two ids (the lesser first), meetings here, meetings needed."""
+def bucket_pairs(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, t: float, flush: int = 500_000) -> Iterator[np.ndarray]:
+    """Pairs that meet among the prefix entries of some grams: rows of two ids (the lesser first), meetings so far, meetings needed; a pair can come again."""
     o = np.lexsort((size, gram))
-    gram, doc, size, pos = gram[o], doc[o], size[o].astype(np.int64), pos[o].astype(np.int64)
-    n = len(gram)
-    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if n else np.zeros(0, np.int64)
-    end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n))) if n else first
-    alive, step, held, kept = np.arange(n), 1, [], 0
+    gram, doc, size, pos, side = (x[o].astype(np.int64) for x in (gram, doc, size, pos, side))
+    _, edge = runs_of(gram)
+    end = np.repeat(edge[1:], np.diff(edge))
+    alive, step, held, kept = np.arange(len(gram)), 1, [], 0
     while len(alive):
         alive = alive[alive + step < end[alive]]
         other = alive + step
         near = size[alive] >= np.ceil(t * size[other] - 1e-9)  # in a group sizes rise, so a pair too far apart ends its row
         alive, other = alive[near], other[near]
         rest, l = np.minimum(size[alive] - pos[alive], size[other] - pos[other]), meetings(size[alive])
-        ok = (rest > need(size[alive], size[other], t) - l) & (doc[alive] != doc[other])
+        ok = (rest > need(size[alive], size[other], t) - l) & (doc[alive] != doc[other]) & ((side[alive] == 2) | (side[alive] != side[other]))
         x, y = doc[alive[ok]], doc[other[ok]]
         if len(x):
             held.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64), l[ok]], 1))
             kept += len(x)
             if kept > flush:
-                held = [add_up(np.concatenate(held))]
-                kept, flush = len(held[0]), max(flush, 2 * len(held[0]))
+                yield add_up(np.concatenate(held))
+                held, kept = [], 0
         step += 1
-    return add_up(np.concatenate(held)) if held else np.zeros((0, 4), np.int64)
+    if held:
+        yield add_up(np.concatenate(held))
 
 
 def add_up(p: np.ndarray) -> np.ndarray:
@@ -136,69 +223,79 @@ def add_up(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_distance(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
-    """A lower bound of the symmetric difference of two sorted sets: both are split at the middle element of the longer."""
-    if depth == 0 or not len(a) or not len(b):
-        return abs(len(a) - len(b))
-    if len(a) < len(b):
-        a, b = b, a
-    m = len(a) // 2
-    k = int(np.searchsorted(b, a[m]))
-    same = k < len(b) and b[k] == a[m]
-    return suffix_distance(a[:m], b[:k], depth - 1) + suffix_distance(a[m + 1 :], b[k + same :], depth - 1) + (not same)
+def suffix_bound(value: np.ndarray, key: np.ndarray, owner: np.ndarray, base: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], depth: int = 2) -> np.ndarray:
+    """Lower bounds of the symmetric differences of pairs of sorted sets, all pairs at once.
+
+    ``value`` holds the sets one after another as numbers below ``base``, ``key`` the same with the set's number times
+    ``base`` added; a and b are the ranges of each pair's sets. Both are split at the middle element of the longer.
+    """
+    (a0, a1), (b0, b1) = a, b
+    if depth == 0 or not len(a0):
+        return np.abs((a1 - a0) - (b1 - b0))
+    swap = a1 - a0 < b1 - b0
+    x0, x1, y0, y1 = (np.where(swap, p, q) for p, q in ((b0, a0), (b1, a1), (a0, b0), (a1, b1)))
+    m = (x0 + x1) // 2
+    some = (x1 > x0) & (y1 > y0)
+    w = value[np.minimum(m, len(value) - 1)]
+    k = np.clip(np.searchsorted(key, owner[np.minimum(y0, len(value) - 1)] * base + w), y0, y1)
+    same = (k < y1) & (value[np.minimum(k, len(value) - 1)] == w)
+    left = suffix_bound(value, key, owner, base, (x0, m), (y0, k), depth - 1)
+    right = suffix_bound(value, key, owner, base, (np.minimum(m + 1, x1), x1), (k + same, y1), depth - 1)
+    return np.where(some, left + right + ~same, np.abs((a1 - a0) - (b1 - b0)))
 
 
 def verify(pairs: np.ndarray, sets: dict[int, np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs that reach t, their similarity). Many pairs of few sets become one matrix product over shared grams."""
-    ids = sorted({int(x) for x in pairs.ravel()})
-    at = {d: i for i, d in enumerate(ids)}
-    size = np.array([len(sets[d]) for d in ids], np.int64)
-    a, b = np.array([at[int(x)] for x in pairs[:, 0]], np.int64), np.array([at[int(x)] for x in pairs[:, 1]], np.int64)
-    if len(pairs) > 4 * len(ids):
-        grams_, local, n = np.unique(np.concatenate([sets[d] for d in ids]), return_inverse=True, return_counts=True)
-        row, shared = np.repeat(np.arange(len(ids)), size), n[local] > 1
-        slot = np.cumsum(n > 1) - 1
-        local, row, width = slot[local[shared]], row[shared], int((n > 1).sum())
-        over, step = np.zeros(len(pairs), np.int64), max(1, min(512, 8_000_000 // max(1, len(ids))))
-        order = np.argsort(local, kind="stable")
-        local, row = local[order], row[order]
-        for k in range(0, width, step):  # columns in blocks, so that memory is bounded
-            lo, hi = np.searchsorted(local, [k, k + step])
-            x = np.zeros((len(ids), step), np.float32)
-            x[row[lo:hi], local[lo:hi] - k] = 1
-            for i in range(0, len(pairs), 200_000):
-                over[i : i + 200_000] += _block_overlap(x, a[i : i + 200_000], b[i : i + 200_000])
-    else:
-        over = np.zeros(len(pairs), np.int64)
-        for i, (x, y) in enumerate(zip(a, b)):
-            u, v = sets[ids[x]], sets[ids[y]]
-            most = size[x] + size[y] - 2 * int(need(size[x], size[y], t))  # symmetric difference that t allows
-            if len(u) > 256 and suffix_distance(u, v) > most:
-                continue
-            c = np.concatenate([u, v])
-            c.sort(kind="stable")
-            over[i] = (c[1:] == c[:-1]).sum()
+    """(pairs that reach t, their similarity): those that the suffix filter leaves are counted by one matrix product over shared grams, in blocks of columns."""
+    ids = np.unique(pairs)
+    if not len(ids):
+        return pairs, np.zeros(0)
+    size = np.array([len(sets[int(d)]) for d in ids], np.int64)
+    a, b = np.searchsorted(ids, pairs[:, 0]), np.searchsorted(ids, pairs[:, 1])
+    _, value, n = np.unique(np.concatenate([sets[int(d)] for d in ids]), return_inverse=True, return_counts=True)
+    owner, stop = np.repeat(np.arange(len(ids)), size), np.cumsum(size)
+    most = size[a] + size[b] - 2 * need(size[a], size[b], t)  # symmetric difference that t allows
+    left = suffix_bound(value, owner * len(n) + value, owner, len(n), (stop[a] - size[a], stop[a]), (stop[b] - size[b], stop[b])) <= most
+    pairs, a, b = pairs[left], a[left], b[left]
+    shared = n[value] > 1
+    local, row, width = (np.cumsum(n > 1) - 1)[value[shared]], owner[shared], int((n > 1).sum())
+    order = np.argsort(local, kind="stable")
+    local, row = local[order], row[order]
+    over, step = np.zeros(len(pairs), np.int64), max(1, min(4096, 4_000_000 // len(ids)))
+    for k in range(0, width, step):
+        lo, hi = np.searchsorted(local, [k, k + step])
+        x = np.zeros((len(ids), step), np.float32)
+        x[row[lo:hi], local[lo:hi] - k] = 1
+        if len(pairs) * 4 > len(ids):
+            over += (x @ x.T)[a, b].astype(np.int64)
+        else:
+            over += np.einsum("ij,ij->i", x[a], x[b]).astype(np.int64)
     j = over / np.maximum(1, size[a] + size[b] - over)
     ok = j >= t - 1e-12
     return pairs[ok], j[ok]
 
 
-def _block_overlap(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    rows = np.unique(a)
-    if len(rows) * len(x) <= 4_000_000 and len(a) * 8 > len(rows) * len(x) // 8:
-        return (x[rows] @ x.T)[np.searchsorted(rows, a), b].astype(np.int64)
-    out = np.empty(len(a), np.int64)
-    for i in range(0, len(a), 5_000):
-        out[i : i + 5_000] = np.einsum("ij,ij->i", x[a[i : i + 5_000]], x[b[i : i + 5_000]]).astype(np.int64)
-    return out
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Edges from the least member to every other of each connected group."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T if len(pairs) else (np.zeros(0, np.int64),) * 2
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low), np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    rest = np.flatnonzero(root != np.arange(len(ids)))
+    return np.stack([ids[root[rest]], ids[rest]], 1)
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rep): every id whose text has a word, and the least id with the same text."""
     t = F.col(f"`{text_col}`")
     small = docs.filter(t.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]") & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.sha2(t, 256).alias("digest"))
-    one = cut(small.groupBy("doc_id").agg(F.min("digest").alias("digest"), (F.min("digest") != F.max("digest")).alias("mixed")), "digests")
-    return cut(one.join(one.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep", "digest", "mixed"), "classes")
+    one = cut(small.groupBy("doc_id").agg(F.min("digest").alias("digest"), (F.min("digest") != F.max("digest")).alias("mixed"), (F.count("*") > 1).alias("again")), "digests")
+    return cut(one.join(one.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep", "digest", "mixed", "again"), "classes")
 
 
 def named_texts(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,94 +310,90 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MOST_BROADCAST else df
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of distinct texts with similarity t or more, doc_a < doc_b, by least ids; no copies."""
+def verified(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, classes: DataFrame, whole: bool) -> DataFrame:
+    """Of the similar pairs of least ids, (doc_a, doc_b, value): all of them with their similarity, or only the edges of a
+    spanning forest (value null) and each document's number of pairs (doc_b null)."""
     spark: SparkSession = docs.sparkSession
-    classes = text_classes(docs, id_col, text_col) if classes is None else classes
     texts = named_texts(docs, classes, id_col, text_col)
     other = classes.filter("doc_id <> rep").select("doc_id")
     reps = texts.join(_small(other, other.count()), "doc_id", "left_anti")
     text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    levels = spark.sparkContext.broadcast(gram_levels(reps, n, _table_bits(text_bytes)))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / 6 * (1 - t) / 500_000))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        held, count = [], 0
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, d, g, size in ordered_sets(b.column(1), n, levels.value):
-                first = np.cumsum(size) - size
-                pos = np.arange(len(d)) - first[d]
-                take = pos < prefix_length(size, t)[d]
-                held.append((g[take], ids[at + d[take]], size[d[take]], pos[take]))
-                count += int(take.sum())
-                if count > 600_000:
-                    yield _packed(held, buckets)
-                    held, count = [], 0
-        if held:
-            yield _packed(held, buckets)
-
-    def pair(table: pa.Table) -> pa.Table:
-        parts = [stretch(x.as_buffer(), 5) for x in table.column("packed")]
-        d, s, p, level, g = (np.concatenate([np.cumsum(x[k]) if k == 0 else x[k] for x in parts]) for k in range(5))
-        m = bucket_pairs(level << 32 | g, d, s, p, t)
-        of = (mix(np.ascontiguousarray(m[:, 0]).view(U64)) % U64(buckets)).astype(np.int64)
-        o = np.argsort(of, kind="stable")  # all pairs of a document go to one place, sorted
-        m, edge = m[o], np.searchsorted(of[o], np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(edge))
-        return pa.table([pa.array(some, pa.int32()), pa.array([_pack_pairs(m[edge[k] : edge[k + 1]]) for k in some], pa.binary())], names=["bucket", "packed"])
+    total, parts = text_bytes // 6 + 1, partitions_for(spark, text_bytes)
+    counting, buckets = max(parts, -(-total // 2_000_000)), max(parts, math.ceil(total * (1 - t) / 500_000))
+
+    asked = ask(reps, n, key_bits(total), counting).repartition(parts, "bucket").groupBy("bucket").applyInArrow(rarity, "packet long, head boolean, body binary, levels binary")
+    entries = asked.repartition(parts, "packet").groupBy("packet").applyInArrow(prefixes(t, buckets), "bucket int, packed binary")
+
+    def pair(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [stretch(x.as_buffer(), 5) for b in rows for x in b.column(1)]
+        d, s, p, side, g = (np.concatenate([np.cumsum(x[k]) if k == 0 else x[k] for x in got]) for k in range(5))
+        del got
+        for m in bucket_pairs(g, d, s, p, side, t):
+            of = (mix(mix(np.ascontiguousarray(m[:, 0]).view(U64)) ^ np.ascontiguousarray(m[:, 1]).view(U64)) % U64(buckets)).astype(np.int64)
+            o = np.argsort(of, kind="stable")  # all meetings of a pair go to one place
+            which, edge = runs_of(of[o])
+            m = m[o]
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([_pack_pairs(m[x:y]) for x, y in zip(edge[:-1], edge[1:])], pa.binary())], names=["bucket", "packed"])
 
     def enough(table: pa.Table) -> pa.Table:
         m = add_up(np.concatenate([_unpack_pairs(x.as_buffer()) for x in table.column("packed")]))
         m = m[m[:, 2] >= m[:, 3]]
         return pa.table({"doc_a": pa.array(m[:, 0], pa.int64()), "doc_b": pa.array(m[:, 1], pa.int64())})
 
-    packed = reps.mapInArrow(entries, "bucket int, packed binary")
-    met = packed.groupBy("bucket").applyInArrow(pair, "bucket int, packed binary")
-    pairs = cut(met.groupBy("bucket").applyInArrow(enough, "doc_a long, doc_b long"), "candidates")
+    met = entries.repartition(parts, "bucket").groupBy("bucket").applyInArrow(pair, "bucket int, packed binary")
+    pairs = cut(met.repartition(parts, "bucket").groupBy("bucket").applyInArrow(enough, "doc_a long, doc_b long"), "candidates")
 
     both = pairs.unionByName(pairs.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
     least = cut(both.groupBy("doc_a").agg(F.least(F.min("doc_b"), F.first("doc_a")).alias("m")), "least")
     keyed = pairs.join(least, "doc_a").join(least.select(F.col("doc_a").alias("doc_b"), F.col("m").alias("m_")), "doc_b").select("doc_a", "doc_b", F.least("m", "m_").alias("key"))
     keyed = cut(keyed, "keyed")
-    wanted = cut(keyed.select(F.col("doc_a").alias("doc_id"), "key").unionByName(keyed.select(F.col("doc_b").alias("doc_id"), "key")).distinct(), "wanted")
-    involved = reps.join(_small(wanted, wanted.count()), "doc_id").select("key", "doc_id", "text")
+    # a key with many documents is split: its documents fall into blocks, and pairs meet by their two blocks
+    ends = keyed.select("key", F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
+    crowd = cut(ends.distinct().groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "crowds")
+    block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1)))
+    place = F.struct("key", F.least(block("doc_a"), block("doc_b")).alias("x"), F.greatest(block("doc_a"), block("doc_b")).alias("y"))
+    keyed = cut(keyed.join(_small(crowd, crowd.count()), "key", "left").select("doc_a", "doc_b", place.alias("place")), "placed")
+    wanted = cut(keyed.select("place", F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "wanted")
+    named = cut(wanted.select("doc_id").distinct(), "named")
+    involved = reps.join(_small(named, named.count()), "doc_id", "left_semi").select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [b""] * b.num_rows
-            for at, d, g, size in ordered_sets(b.column(2), n, levels.value):
-                stop = np.cumsum(size)
-                for i, e in enumerate(stop):
-                    out[at + i] = g[e - size[i] : e].tobytes()
-            empty = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), empty, pa.array(out, pa.binary())], names=["key", "doc_a", "doc_b", "grams"])
-
-    shape = "key long, doc_a long, doc_b long, grams binary"
-    together = involved.mapInArrow(sets, shape).unionByName(keyed.select("key", "doc_a", "doc_b", F.lit(None).cast("binary").alias("grams")))
+        for big in batches:
+            for b in (big.slice(at, 1024) for at in range(0, big.num_rows, 1024)):
+                out = [b""] * b.num_rows
+                for at, d, g, size in gram_sets(b.column(1), n):
+                    stop = np.cumsum(size)
+                    for i, e in enumerate(stop):
+                        out[at + i] = g[e - size[i] : e].tobytes()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "grams"])
+
+    known = involved.mapInArrow(sets, "doc_id long, grams binary").dropDuplicates(["doc_id"]) if _repeated(classes) else involved.mapInArrow(sets, "doc_id long, grams binary")
+    together = known.join(_small(wanted, wanted.count()), "doc_id").select("place", F.col("doc_id").alias("doc_a"), F.lit(None).cast("long").alias("doc_b"), "grams")
+    together = together.unionByName(keyed.select("place", "doc_a", "doc_b", F.lit(None).cast("binary").alias("grams"))).repartition(parts, "place")
 
     def check(table: pa.Table) -> pa.Table:
         is_pair = np.asarray(table.column("doc_b").is_valid())
         a, b = table.column("doc_a").to_numpy(), table.column("doc_b").filter(pa.array(is_pair)).to_numpy()
         held = {int(d): np.frombuffer(x.as_buffer(), "<u8") for d, x, p in zip(a, table.column("grams"), is_pair) if not p}
         p, j = verify(np.stack([a[is_pair], b], 1).astype(np.int64), held, t)
-        return pa.table({"doc_a": pa.array(p[:, 0], pa.int64()), "doc_b": pa.array(p[:, 1], pa.int64()), "jaccard": pa.array(np.round(j, 6))})
+        if whole:
+            return pa.table({"doc_a": pa.array(p[:, 0], pa.int64()), "doc_b": pa.array(p[:, 1], pa.int64()), "value": pa.array(np.round(j, 6))})
+        e, (d, k) = forest(p), np.unique(p, return_counts=True)
+        return pa.table({
+            "doc_a": pa.array(np.concatenate([e[:, 0], d]), pa.int64()), "doc_b": pa.concat_arrays([pa.array(e[:, 1], pa.int64()), pa.nulls(len(d), pa.int64())]),
+            "value": pa.concat_arrays([pa.nulls(len(e), pa.float64()), pa.array(k.astype(float))]),
+        })
+
+    return together.groupBy("place").applyInArrow(check, "doc_a long, doc_b long, value double")
+
 
-    return together.groupBy("key").applyInArrow(check, "doc_a long, doc_b long, jaccard double")
+def _repeated(classes: DataFrame) -> bool:
+    return bool(classes.filter("again").limit(1).count())
 
 
-def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
-    """Entries by bucket. A gram travels as its level and 32 bits beside those that chose the bucket: a collision can only add a meeting, and so a candidate."""
-    g, d, s, p = (np.concatenate([h[k] for h in held]) for k in range(4))
-    low = g & _LOW56
-    of = (low % U64(buckets)).astype(np.int32)
-    o = np.lexsort((p, d, of))
-    cols = (d[o].astype(np.int64), s[o], p[o], (g >> U64(56))[o], (low // U64(buckets) & U64(0xFFFFFFFF))[o])
-    edge = np.searchsorted(of[o], np.arange(buckets + 1))
-    some = np.flatnonzero(np.diff(edge))
-    packed = [squeeze(deltas(cols[0][edge[k] : edge[k + 1]]), *(x[edge[k] : edge[k + 1]] for x in cols[1:])) for k in some]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+def jaccard_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_a, doc_b, jaccard): all pairs of different texts with similarity t or more, by their least ids, doc_a < doc_b."""
+    return verified(docs, n, t, id_col, text_col, text_classes(docs, id_col, text_col), True).withColumnRenamed("value", "jaccard")
 
 
 def _pack_pairs(m: np.ndarray) -> bytes:
@@ -323,10 +416,15 @@ def _unpack_pairs(blob) -> np.ndarray:
 
 
 def similar(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b, jaccard): :func:`jaccard_pairs`, and every further copy of a text with the text's least id (similarity 1)."""
+    """(doc_id, class_id, links), a row for each id: the least id that it is connected with by copies and similar texts, and
+    how many other texts are similar to its own."""
     classes = text_classes(docs, id_col, text_col)
-    copies = classes.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return jaccard_pairs(docs, n, t, id_col, text_col, classes).unionByName(copies)
+    found = cut(verified(docs, n, t, id_col, text_col, classes, False), "links")
+    links = found.filter("doc_b IS NULL").groupBy(F.col("doc_a").alias("rep")).agg(F.sum("value").cast("long").alias("links"))
+    roots = components(found.filter("doc_b IS NOT NULL").select("doc_a", "doc_b")).select(F.col("doc_id").alias("rep"), "root")
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    placed = ids.join(classes.select("doc_id", "rep"), "doc_id", "left").join(roots, "rep", "left").join(links, "rep", "left")
+    return placed.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -348,8 +446,7 @@ def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
 
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents connected, by similar pairs, to one of lesser id; one row of rows repeated with the same id stays."""
-    found = cut(similar(docs, n, t, id_col, text_col), "similar")
-    gone = cut(components(found).filter("root <> doc_id").select(F.col("doc_id").alias("gone_")), "gone")
+    gone = cut(similar(docs, n, t, id_col, text_col).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_")), "gone")
     key = F.col(f"`{id_col}`")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.cast("long").alias("id_"))
     rows = rows.join(_small(gone, gone.count()), F.col("id_") == F.col("gone_"), "left_anti")
@@ -363,14 +460,17 @@ def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str = "d
 
 
 def oracle(n: int = N, t: float = THRESHOLD) -> str:
-    """All pairs in DuckDB SQL, by joining all grams (n = 2)."""
+    """Classes and links in DuckDB SQL, by joining all grams (n = 2) and closing over the pairs."""
     assert n == 2
     return f"""
-WITH c AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text),
+WITH RECURSIVE c AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text),
 w AS (SELECT doc_id, {SQL_WORDS} AS ws FROM c),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS gram FROM w WHERE len(ws) > 0),
 s AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
-j AS (SELECT doc_a, doc_b, n::DOUBLE / (x.size + y.size - n) AS jaccard FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b)
-SELECT doc_a, doc_b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= {t} - 1e-12
-UNION ALL SELECT c.doc_id, d.doc_id, 1.0 FROM documents d JOIN c USING (text) JOIN s ON s.doc_id = c.doc_id WHERE d.doc_id <> c.doc_id"""
+o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+j AS (SELECT doc_a, doc_b FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE n::DOUBLE / (x.size + y.size - n) >= {t} - 1e-12),
+r AS (SELECT doc_id, doc_id AS root FROM c UNION SELECT j.doc_b, r.root FROM r JOIN j ON j.doc_a = r.doc_id),
+m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id),
+k AS (SELECT doc_a AS doc_id, count(*) AS links FROM j GROUP BY doc_a)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.doc_id ELSE m.root END AS class_id, coalesce(k.links, 0) AS links
+FROM documents d LEFT JOIN c USING (text) LEFT JOIN s ON s.doc_id = c.doc_id LEFT JOIN m ON m.doc_id = c.doc_id LEFT JOIN k ON k.doc_id = c.doc_id"""

@@ -84,7 +84,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     ]
 
 
-# --------------------------------------------------------------------------------------------- labelled examples
+# ----- labelled examples
 def _word(r: random.Random) -> str:
     if r.random() < 0.4:
         return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10)))
@@ -164,7 +164,7 @@ def examples(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.array(ys)
 
 
-# --------------------------------------------------------------------------------------------- boosted trees
+# ----- boosted trees
 class Boosted:
     """Gradient-boosted regression trees for the logistic loss, complete binary trees in arrays."""
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from lorespark.llm import decontaminate, ngram_join, pii, quality, suffix_dedup
@@ -38,14 +39,42 @@ def brute_pairs(texts, t=0.6):
     return {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t - 1e-12}
 
 
+def classes_of(texts, t=0.6):
+    """(class, links) of each id by brute force; texts without a word stand alone."""
+    first, root, links = {}, {d: d for d in texts}, dict.fromkeys(texts, 0)
+    for d in sorted(texts):
+        if plain_words(texts[d]):
+            first.setdefault(texts[d], d)
+    pairs = brute_pairs({d: x for x, d in first.items()}, t)
+    for a, b in pairs:
+        links[a], links[b] = links[a] + 1, links[b] + 1
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    rep = {d: first.get(texts[d], d) for d in texts}
+    return {d: (root[rep[d]], links[rep[d]]) for d in texts}
+
+
 def test_jaccard_cases(spark):
-    rows = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.similar(cases.docs(spark)).collect()}
-    texts = {d: t for d, t in cases.TEXTS if d is not None and t}
-    want = {k: v for k, v in brute_pairs(texts).items() if not (texts[k[0]] == texts[k[1]]) and 3 not in k and 18 not in k}
-    assert rows == want | {(1, 3): 1.0, (10, 18): 1.0}
+    rows = ngram_join.similar(cases.docs(spark)).collect()
+    texts = {d: t for d, t in cases.TEXTS if d is not None}
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in rows} == classes_of(texts) and len(rows) == len(texts)
     assert ngram_join.similar(cases.docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{"MOST_BROADCAST": 0}, {"HOT": 3, "BLOCK": 4}, {"PACKET": 50}])
+def test_jaccard_with_shuffled_sides_split_groups_and_small_packets(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    texts = {k: cases.changed(cases.prose(k % 3, 30 + 40 * (k % 3)), k, 0.05) if k % 9 else cases.prose(k % 3, 20) for k in range(60)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.similar(d).collect()} == classes_of(texts)
+    first = {}
+    for k in sorted(texts):
+        first.setdefault(texts[k], k)
+    assert {(x["doc_a"], x["doc_b"]): x["jaccard"] for x in ngram_join.jaccard_pairs(d).collect()} == brute_pairs({v: k for k, v in first.items()})
+
+
 def test_jaccard_equals_brute_force_on_many_near_copies(spark):
     r = random.Random(8)
     texts = {}
@@ -63,11 +92,15 @@ def test_jaccard_equals_brute_force_on_many_near_copies(spark):
     assert got == want and len(want) > 150
 
 
-def test_suffix_filter_is_a_lower_bound():
+def test_suffix_filter_is_a_lower_bound_and_cuts():
     r = np.random.default_rng(1)
-    for _ in range(300):
-        a, b = (np.unique(r.integers(0, 60, r.integers(0, 40))) for _ in range(2))
-        assert ngram_join.suffix_distance(a, b) <= len(np.setxor1d(a, b))
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 40))) for _ in range(60)]
+    size = np.array([len(x) for x in sets])
+    value, owner, stop = np.concatenate(sets), np.repeat(np.arange(60), size), np.cumsum(size)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    got = ngram_join.suffix_bound(value, owner * 60 + value, owner, 60, (stop[a] - size[a], stop[a]), (stop[b] - size[b], stop[b]))
+    want = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert (got <= want).all() and (got > np.abs(size[a] - size[b])).mean() > 0.3 and (got[a == b] == 0).all()
 
 
 def test_components_are_whole_groups(spark):
