@@ -6,6 +6,7 @@ definition is closed over UTF-8 bytes, so that numpy finds and hashes all words
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from lorespark.functions.cuts import shared_folder
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18  # what numpy works on at a time: it stays in the cache of a core
 
 _CUTS: dict[str, list[tuple[str, str]]] = {}
 
@@ -72,6 +73,7 @@ def leave_scopes(spark: SparkSession, prefix: str) -> None:
 
 #: What worker processes keep between tasks, by operator; a worker that turns to another operator lets it go.
 KEPT: list[dict] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def keeps(cache: dict) -> dict:
@@ -80,9 +82,13 @@ def keeps(cache: dict) -> dict:
 
 
 def forget(*but: dict) -> None:
+    """For the start of a task: lets go what other operators keep, and gives the allocators' free memory back to the machine."""
     for cache in KEPT:
         if not any(cache is b for b in but):
             cache.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def partitions_for(spark: SparkSession, nbytes: int) -> int:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import _FOLD, SQL_WORDS, U64, Words, cut, forget, mix, powers, word_chunks
+from lorespark.llm.common import _FOLD, SQL_WORDS, U64, Words, cut, forget, mix, partitions_for, powers, runs_of, word_chunks
 from lorespark.llm.ngram_join import _small, named_texts, text_classes
 
 LENGTH = 50
@@ -210,11 +210,11 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, removable:
     return d, s, e - s, gone
 
 
-def _pack_by(bucket: np.ndarray, buckets: int, **cols: np.ndarray) -> tuple[list[int], dict[str, list[bytes]], np.ndarray, np.ndarray]:
+def _pack_by(bucket: np.ndarray, **cols: np.ndarray) -> tuple[np.ndarray, dict[str, list[bytes]], np.ndarray, np.ndarray]:
+    """(buckets that occur, the columns' bytes by bucket, order, edges of the buckets in that order)."""
     o = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[o], np.arange(buckets + 1))
-    some = [k for k in range(buckets) if edge[k] < edge[k + 1]]
-    return some, {n: [x[o[edge[k] : edge[k + 1]]].tobytes() for k in some] for n, x in cols.items()}, o, edge
+    some, edge = runs_of(bucket[o])
+    return some, {n: [x[o[p:q]].tobytes() for p, q in zip(edge[:-1], edge[1:])] for n, x in cols.items()}, o, edge
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +226,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
     n_other = other.count()
     reps = texts.join(_small(other, n_other), "doc_id", "left_anti")
     text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / BUCKET_BYTES))
+    parts = partitions_for(spark, text_bytes)
+    buckets = max(parts, math.ceil(text_bytes / BUCKET_BYTES))
 
     def exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -234,7 +235,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
 
         def flush() -> pa.RecordBatch:
             g, d = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            some, cols, _, _ = _pack_by((g % U64(buckets)).astype(np.int64), buckets, g=g.astype("<u8"), d=d.astype("<i8"))
+            some, cols, _, _ = _pack_by((g % U64(buckets)).astype(np.int64), g=g.astype("<u8"), d=d.astype("<i8"))
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(cols["g"], pa.binary()), pa.array(cols["d"], pa.binary())], names=["bucket", "g", "d"])
 
         for b in batches:
@@ -245,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
                 doc = np.searchsorted(w.first, at[one], "right") - 1
                 held.append((gram[one], ids[w.doc_from + doc]))
                 n += len(one)
-            if n > 1_000_000:
+            if n > 500_000:
                 yield flush()
                 held, n = [], 0
         if held:
@@ -262,7 +263,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
         one = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]) if len(g) else np.zeros(0, bool)
         return pa.table({"g": pa.array(g[one].view(np.int64)), "doc_id": pa.array(d[one], pa.int64())})
 
-    seen = cut(reps.mapInArrow(exchange, "bucket int, g binary, d binary").groupBy("bucket").applyInArrow(twice, "g long, doc_id long"), "anchors")
+    seen = cut(reps.mapInArrow(exchange, "bucket int, g binary, d binary").repartition(parts, "bucket").groupBy("bucket").applyInArrow(twice, "g long, doc_id long"), "anchors")
     distinct = cut(seen.select("g").distinct(), "repeated")
     if distinct.count() <= MOST_BROADCAST:
         found = np.sort(distinct.toPandas()["g"].to_numpy(np.int64).view(U64))
@@ -273,6 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
         source = reps.join(seen.groupBy("doc_id").agg(F.collect_list("g").alias("own")), "doc_id").select("doc_id", "text", "own")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         gap = re.compile(rb"\0+")
         for b in (big.slice(at, 1024) for big in batches for at in range(0, big.num_rows, 1024)):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -297,8 +299,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
             if held:
                 g, d, s, n, off = (np.concatenate([x[c] for x in held]) for c in range(5))
                 words = [t for x in held for t in x[5]]
-                some, cols, o, edge = _pack_by((g % U64(buckets)).astype(np.int64), buckets, anchor=g.astype("<u8"), doc=d.astype("<i8"), start=s, count=n, off=off)
-                joined = [b"".join(words[x] + b"\n" for x in o[edge[q] : edge[q + 1]].tolist()) for q in some]
+                some, cols, o, edge = _pack_by((g % U64(buckets)).astype(np.int64), anchor=g.astype("<u8"), doc=d.astype("<i8"), start=s, count=n, off=off)
+                joined = [b"".join(words[x] + b"\n" for x in o[edge[q] : edge[q + 1]].tolist()) for q in range(len(some))]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(cols[c], pa.binary()) for c in cols], pa.array(joined, pa.binary())], names=["bucket", *cols, "words"])
 
     def sort(table: pa.Table) -> pa.Table:
@@ -311,7 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
         return pa.table({"doc_id": pa.array(doc[head], pa.int64()), "start": pa.array(start[head], pa.int64()), "stop": pa.array(start[tail] + length, pa.int64()), "later": pa.array(later[head])})
 
     run_schema = "bucket int, anchor binary, doc binary, start binary, count binary, off binary, words binary"
-    found_spans = source.mapInArrow(runs, run_schema).groupBy("bucket").applyInArrow(sort, "doc_id long, start long, stop long, later boolean")
+    found_spans = source.mapInArrow(runs, run_schema).repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort, "doc_id long, start long, stop long, later boolean")
 
     copied = classes.join(classes.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "digest", "left_semi").select("doc_id", (F.col("doc_id") != F.col("rep")).alias("later"))
     copied = cut(copied, "copied")
@@ -329,7 +331,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
         return pa.table({"doc_id": pa.array(d, pa.int64()), "start_word": pa.array(s, pa.int64()), "n_words": pa.array(n, pa.int64()), "removable_words": pa.array(gone, pa.int64())})
 
     spans = found_spans.unionByName(whole).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(buckets)))
-    return spans.groupBy("part").applyInArrow(merge, "doc_id long, start_word long, n_words long, removable_words long")
+    return spans.repartition(parts, "part").groupBy("part").applyInArrow(merge, "doc_id long, start_word long, n_words long, removable_words long")
 
 
 def oracle(length: int = LENGTH) -> str:
