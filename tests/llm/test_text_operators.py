@@ -11,7 +11,7 @@ from lorespark.llm import bpe, pii, quality, reshard, secrets, tokenids, warc
 from tests.llm import cases
 
 
-# ------------------------------------------------------------------ quality rules
+# ----- quality rules
 def test_quality_rules_cases(spark):
     got = {r["doc_id"]: r for r in quality.score(cases.docs(spark)).collect()}
     assert got[6]["failed"] == got[7]["failed"] == got[8]["failed"] == "min_words"
@@ -32,7 +32,7 @@ def test_quality_has_no_python(spark):
     assert "Python" not in plan and "Exchange hash" not in plan
 
 
-# ------------------------------------------------------------------ secrets
+# ----- secrets
 def test_secret_checksums():
     s = secrets.Scanner()
     body = "0" * 30
@@ -63,7 +63,7 @@ def test_secret_scan_equals_plain_regex():
         assert sorted((x[0], x[1], x[3]) for x in s.scan(t)) == want
 
 
-# ------------------------------------------------------------------ PII
+# ----- PII
 def test_pii_held_out_accuracy():
     m = pii.model()
     x, y = pii.examples(1500, 11)
@@ -95,7 +95,7 @@ def test_isotonic_is_monotone_and_pools():
     assert (np.diff(p) > 0).all() and p.tolist() == [0, 0.5, 1] and lo.tolist() == [1, 2, 4]
 
 
-# ------------------------------------------------------------------ BPE
+# ----- BPE
 def test_bpe_equals_tiktoken_and_round_trips(spark):
     import tiktoken
 
@@ -128,7 +128,7 @@ def test_bpe_forgets_without_harm(monkeypatch):
     assert len(mine) <= 5
 
 
-# ------------------------------------------------------------------ token ids
+# ----- token ids
 def test_byte_coding_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
@@ -154,7 +154,7 @@ def test_token_ids_cases(spark):
     assert tokenids.encode(cases.docs(spark, []))[0].count() == 0
 
 
-# ------------------------------------------------------------------ resharding
+# ----- resharding
 def test_flow_is_cheapest():
     r = random.Random(4)
     for _ in range(30):
@@ -195,7 +195,7 @@ def test_reshard_rewrites_everything_once(spark):
         reshard.plan_transfers({"a": {0: 10}}, {"a": 5})
 
 
-# ------------------------------------------------------------------ fixity
+# ----- fixity
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, shard long, seq long, hash string")
 
