@@ -27,7 +27,25 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def track(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when this process ends; an earlier end of the session leaves it to the owner of the folder."""
+
+    def gone() -> None:
+        try:
+            delete(spark, path)
+        except Exception:  # the session has ended
+            pass
+
+    atexit.register(gone)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = track(df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
