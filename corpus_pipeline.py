@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm import bpe, decontaminate, ngram_join, pii, quality
-from lorespark.llm.common import enter_scope, leave_scopes, read, shared_dir
+from lorespark.llm.common import delete, enter_scope, leave_scopes, read, shared_dir, track
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,11 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again, but for the last."""
-    docs, base = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder and read again, but for the last.
+
+    A stage's table goes when the next one is written; the last of them, which the result reads, when the process ends.
+    """
+    docs, base, before = read(spark, sf_dir, "documents"), track(spark, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            docs.write.parquet(path := f"{base}/{k}-{name}")
+            docs = spark.read.parquet(path)
+            if before:
+                delete(spark, before)
+            before = path
     return docs

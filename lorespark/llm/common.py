@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.functions.cuts import shared_folder
+from lorespark.functions.cuts import delete, shared_folder, track
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 18  # what numpy works on at a time: it stays in the cache of a core
@@ -30,19 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 _SCOPE = [""]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
+    path = track(spark, f"{shared_dir(spark)}/cut-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     _CUTS.setdefault(spark.sparkContext.applicationId, []).append((_SCOPE[0], path))
     return spark.read.schema(df.schema).parquet(path)
@@ -54,7 +48,7 @@ def drop_cut(df: DataFrame) -> None:
     mine = _CUTS.get(spark.sparkContext.applicationId, [])
     files = df.inputFiles()
     for scope, path in [x for x in mine if any(x[1].rsplit("/", 1)[1] in f for f in files)]:
-        _delete(spark, path)
+        delete(spark, path)
         mine.remove((scope, path))
 
 
@@ -67,7 +61,7 @@ def leave_scopes(spark: SparkSession, prefix: str) -> None:
     """Deletes the cuts of all scopes that begin with ``prefix``; their readers must have been written out."""
     app = spark.sparkContext.applicationId
     for scope, path in [x for x in _CUTS.get(app, []) if x[0].startswith(prefix)]:
-        _delete(spark, path)
+        delete(spark, path)
         _CUTS[app].remove((scope, path))
 
 

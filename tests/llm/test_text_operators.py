@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe, pii, quality, reshard, secrets, tokenids, warc
+from lorespark.llm import bpe, pii, quality, queries, reshard, secrets, tokenids, warc
 from tests.llm import cases
 
 
@@ -155,19 +155,61 @@ def test_token_ids_cases(spark):
 
 
 # ----- resharding
-def test_flow_is_cheapest():
-    r = random.Random(4)
-    for _ in range(30):
-        n = r.randint(1, 3)
-        sizes = [r.randint(0, 6) for _ in range(n)]
-        caps = [r.randint(0, 7) for _ in range(n)]
-        if sum(sizes) > sum(caps):
+def cheapest(blocks, caps):
+    """Fewest bytes that an assignment of all blocks moves, by trying all; None: none fits."""
+    flat, best = [(x, b, n) for x in blocks for b, n in blocks[x].items()], None
+    for to in itertools.product(sorted(caps), repeat=len(flat)):
+        load = dict.fromkeys(caps, 0)
+        for y, (_, _, n) in zip(to, flat):
+            load[y] += n
+        if all(load[y] <= caps[y] for y in caps):
+            cost = sum(n for y, (x, _, n) in zip(to, flat) if y != x)
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_flow_moves_the_fewest_bytes_of_uneven_blocks():
+    r, checked = random.Random(4), 0
+    while checked < 2000:
+        blocks = {str(i): {k: r.randint(0, 9) for k in range(r.randint(0, 3))} for i in range(r.randint(1, 3))}
+        caps = {str(i + r.randint(0, 1)): r.randint(0, 22) for i in range(r.randint(1, 3))}
+        want = cheapest(blocks, caps)
+        if want is None:
             continue
-        blocks = {str(i): {k: 1 for k in range(s)} for i, s in enumerate(sizes)}
-        least, moves = reshard.plan_transfers(blocks, {str(i): c for i, c in enumerate(caps)})
-        assert least == sum(max(0, s - c) for s, c in zip(sizes, caps)) == len(moves)
-        after = [s - sum(m[0] == str(i) for m in moves) + sum(m[2] == str(i) for m in moves) for i, s in enumerate(sizes)]
-        assert all(a <= c for a, c in zip(after, caps))
+        least, moves = reshard.plan_transfers(blocks, caps)
+        load = {x: sum(b.values()) for x, b in blocks.items()}
+        for x, b, y in moves:
+            load[x], load[y] = load[x] - blocks[x][b], load.get(y, 0) + blocks[x][b]
+        assert least <= want == sum(blocks[x][b] for x, b, _ in moves) and all(n <= caps.get(x, 0) for x, n in load.items())
+        checked += 1
+    assert reshard.plan_transfers({"0": {0: 5}, "1": {0: 2, 1: 9, 2: 6}, "2": {0: 9, 1: 5}}, {"0": 19, "1": 13, "2": 18})[1] == [("1", 2, "0")]
+
+
+def test_cover_of_large_blocks_is_nearly_least():
+    r = random.Random(8)
+    for _ in range(30):
+        blocks = {k: r.randint(1, 10**9) for k in range(200)}
+        least = r.randint(1, sum(blocks.values()))
+        got = sum(blocks[b] for b in reshard.cover(blocks, least))
+        assert 0 <= got - least <= 201 / reshard.UNITS * sum(blocks.values())
+
+
+def test_reshard_query_equals_a_plain_version(spark, tmp_path):
+    import xxhash
+
+    rows = [(k, cases.prose(k, 5 + k % 40), f"src{k % 5 if k % 3 else 0}") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    block = lambda k: (xxhash.xxh64(k.to_bytes(8, "little"), seed=42).intdigest()) % (1 << 64)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    sizes = {}
+    for k, t, s in rows:
+        b = signed(block(k)) % reshard.RANGES
+        sizes.setdefault(s, {})[b] = sizes.get(s, {}).get(b, 0) + len(t.encode())
+    _, moves = reshard.plan_transfers(sizes, reshard.even_capacity(sizes, 24))
+    to = {(x, b): y for x, b, y in moves}
+    got = {r["doc_id"]: (r["old_shard"], r["new_shard"], r["moved"]) for r in queries.op4_flow_reshard(spark, str(tmp_path)).collect()}
+    assert got == {k: (s, y := to.get((s, signed(block(k)) % reshard.RANGES), s), y != s) for k, _, s in rows}
+    assert any(m for _, _, m in got.values())
 
 
 def test_min_cost_flow_against_all_assignments():
