@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+
 from lorespark.llm import bpe, pii, quality, queries, reshard, secrets, tokenids, warc
+from lorespark.llm.common import cut
 from tests.llm import cases
 
 
@@ -244,17 +246,36 @@ def pages(spark, rows):
 
 def test_audit_finds_exactly_the_damage(spark):
     rows = [(i, f"u{i}", "x" * (i % 50), 1, 2, "h") for i in range(300)] + [(5, "u5", "x" * 5, 1, 2, "h"), (None, None, None, 1, 2, "h"), (301, "", "", 1, 2, "h"), (302, "u", "y" * 200_000, 1, 2, "h")]
-    recs = warc.records(pages(spark, rows), 64)
-    bad = F.when(F.col("page_id") == 77, F.lit("other")).when(F.col("page_id") == 130, F.lit(None).cast("string")).otherwise(F.col("record"))
-    a, b = warc.tree(warc.leaves(recs), 64, 4), warc.tree(warc.leaves(recs, bad), 64, 4)
-    assert {(r["page_id"], r["finding"]) for r in warc.audit(a, b, 4).collect()} == {(77, "corrupt"), (130, "missing")}
-    assert {(r["page_id"], r["finding"]) for r in warc.audit(b, a, 4).collect()} == {(77, "corrupt"), (130, "extra")}
-    assert warc.audit(a, a, 4).count() == 0
-    empty = warc.tree(warc.leaves(warc.records(pages(spark, []))))
-    assert warc.audit(empty, empty).count() == 0
+    a = cut(warc.layout(pages(spark, rows), 64), "a")
+    changed = F.when(F.col("page_id") == 77, F.lit("other")).otherwise(F.col("record"))
+    b = cut(a.filter("page_id IS NULL OR page_id <> 130").withColumn("record", changed), "b")
+    for span, fanout in ((1 << 16, 16), (256, 2)):
+        tree = lambda x, y: warc.tree(warc.leaves(x), warc.leaves(y), span, fanout)  # noqa: B023, E731
+        assert {(r["page_id"], r["finding"]) for r in warc.audit(tree(a, b)).collect()} == {(77, "corrupt"), (130, "missing")}
+        assert {(r["page_id"], r["finding"]) for r in warc.audit(tree(b, a)).collect()} == {(77, "corrupt"), (130, "extra")}
+        assert warc.audit(tree(a, a)).count() == 0
+    empty = warc.leaves(warc.layout(pages(spark, [])))
+    assert warc.audit(warc.tree(empty, empty)).count() == 0
+
+
+def test_one_lost_record_of_an_independent_table_is_one_finding(spark, tmp_path):
+    a = cut(warc.layout(pages(spark, [(i, f"u{i}", f"é{i}" * 20, 1, 2, "h") for i in range(200)]), 50), "a")
+    warc.write(a, str(tmp_path / "a"))
+    stored = cut(warc.read(spark, str(tmp_path / "a")), "stored")
+    assert sorted(map(tuple, stored.collect())) == sorted((r["shard"], r["offset"], r["record"]) for r in a.collect())
+    whole = stored.withColumn("page_id", F.lit(None).cast("long"))
+    lost = whole.filter("NOT (shard = 1 AND offset = 0)")
+    found = warc.audit(warc.tree(warc.leaves(whole), warc.leaves(lost))).collect()
+    assert [(r["shard"], r["offset"], r["finding"]) for r in found] == [(1, 0, "missing")]
+    one = a.filter("page_id = 3").first()["record"].encode()
+    import gzip
+
+    packed = gzip.compress(one) + gzip.compress(one)
+    assert [r for _, r in warc.split_records(packed)] == [one, one] and [o for o, _ in warc.split_records(one + one)] == [0, len(one)]
+    assert b"WARC-Record-ID: <urn:uuid:" in one and b"WARC-Date: " in one
 
 
 def test_roots_change_with_any_byte(spark):
-    one = warc.tree(warc.leaves(warc.records(pages(spark, [(i, "u", "h", 1, 2, "h") for i in range(40)]))))[-1].collect()
-    two = warc.tree(warc.leaves(warc.records(pages(spark, [(i, "u", "H" if i == 39 else "h", 1, 2, "h") for i in range(40)]))))[-1].collect()
-    assert len(one) == len(two) == 1 and one[0]["hash"] != two[0]["hash"]
+    page = lambda h: warc.leaves(warc.layout(pages(spark, [(i, "u", h if i == 39 else "h", 1, 2, "h") for i in range(40)])))
+    roots = warc.tree(page("h"), page("H"))[-1][0].collect()
+    assert len(roots) == 2 and roots[0]["hash"] != roots[1]["hash"]
