@@ -5,7 +5,8 @@ is the rule's expression tried, anchored at that place, so texts without a keywo
 tokens carry a checksum verify it; a wrong checksum is reported as such and is not a finding at the default level.
 
 Cases: null and empty texts have no findings. Texts of any length are scanned whole. Repeated rows give their findings
-once per row. Overlapping findings of different rules are all returned; one rule reports a place once. Rows without an
+once per row. Ids must be integers or cast to them. Tokens of unbounded length begin where no character of theirs stands
+before, so that a text of keywords alone is read once, too. Overlapping findings of different rules are all returned; one rule reports a place once. Rows without an
 id are scanned and keep a null id. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
@@ -42,13 +43,15 @@ def _crc_tail(token: str) -> bool:
 
 
 def _aws_key(token: str) -> bool:
-    """Key ids hold the account number in base 32; the top bit of the first five bytes is unused in valid ones."""
+    """The account that the base-32 digits name has twelve decimal digits; ids of the older series (I and J) name none."""
+    if token[4] in "IJ":
+        return True
     n = 0
-    for c in token[4:12]:
+    for c in token[4:14]:
         if c not in _B32:
             return False
         n = n * 32 + _B32[c]
-    return n >> 35 != 0 or n > 0
+    return 0 < (n >> 2 & 0x7FFFFFFFFF80) >> 7 < 10**12
 
 
 def _jwt(token: str) -> bool:
@@ -99,10 +102,10 @@ RULES = (
     SecretRule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?P<s>gh[pousr]_[0-9A-Za-z]{36})(?![0-9A-Za-z])", "crc32"),
     SecretRule("npm_token", ("npm_",), r"(?P<s>npm_[0-9A-Za-z]{36})(?![0-9A-Za-z])", "crc32"),
     SecretRule("aws_key_id", ("AKIA", "ASIA"), r"(?P<s>A[KS]IA[A-Z2-7]{16})(?![0-9A-Za-z])", "aws"),
-    SecretRule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), r"(?P<s>xox[bpar]-[0-9A-Za-z-]{20,})"),
+    SecretRule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), r"(?<![0-9A-Za-z-])(?P<s>xox[bpar]-[0-9A-Za-z-]{20,})"),
     SecretRule("stripe_key", ("sk_live_", "rk_live_"), r"(?P<s>[sr]k_live_[0-9A-Za-z]{16,})"),
     SecretRule("google_key", ("AIza",), r"(?P<s>AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])"),
-    SecretRule("jwt", ("eyJ",), r"(?P<s>eyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,})", "jwt"),
+    SecretRule("jwt", ("eyJ",), r"(?<![0-9A-Za-z_-])(?P<s>eyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,})", "jwt"),
     SecretRule("private_key", ("-----begin",), r"(?P<s>-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"),
     SecretRule(
         "assignment",
