@@ -46,25 +46,35 @@ def _record(page: Column, url: Column, html: Column) -> Column:
     return F.concat(head, html, F.lit("\r\n\r\n"))
 
 
-def layout(pages: DataFrame, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """(shard, offset, page_id, record): pages as stored WARC records; a shard holds a range of ``shard_records`` page ids.
-
-    A shard is a function of the id alone, so that adding pages at the end changes no earlier shard, and the order inside a
-    shard needs one window over the shard, never over the table.
-    """
+def records(pages: DataFrame, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """(shard, page_id, record): pages as WARC records. A shard holds a range of ``shard_records`` page ids, so that adding pages at the end changes no earlier shard."""
     page = F.col("page_id").cast("long")
     shard = F.coalesce(F.floor(page / shard_records), F.lit(-1)).cast("long")
-    record = _record(F.coalesce(page.cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
-    recs = pages.select(shard.alias("shard"), page.alias("page_id"), record.alias("record"))
-    w = Window.partitionBy("shard").orderBy("page_id", F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return recs.select("shard", F.coalesce(F.sum(F.octet_length("record")).over(w), F.lit(0)).cast("long").alias("offset"), "page_id", "record")
+    return pages.select(shard.alias("shard"), page.alias("page_id"), _record(F.coalesce(page.cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("record"))
+
+
+def laid_out(recs: DataFrame, *kept: Column | str) -> DataFrame:
+    """(shard, offset, page_id, digest, length) of records in the order in which a shard stores them, and what else is
+    ``kept``. Only these go through the window over the shard: without ``record`` no text is shuffled."""
+    small = recs.select("shard", "page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"), *kept)
+    w = Window.partitionBy("shard").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return small.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long"))
+
+
+def layout(pages: DataFrame, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """(shard, offset, page_id, record): pages as a replica stores them."""
+    return laid_out(records(pages, shard_records), "record").select("shard", "offset", "page_id", "record")
 
 
 def leaves(replica: DataFrame) -> DataFrame:
     """(shard, seq, page_id, offset, length, hash) of what a replica stores, whatever another one does; seq is the offset."""
-    length = F.octet_length("record").cast("long")
-    h = F.sha2(F.concat_ws(":", "shard", "offset", length, F.sha2("record", 256)), 256)
-    return replica.filter("record IS NOT NULL").select("shard", F.col("offset").alias("seq"), "page_id", "offset", length.alias("length"), h.alias("hash"))
+    return hashed(replica.filter("record IS NOT NULL").select("shard", "offset", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest")))
+
+
+def hashed(stored: DataFrame) -> DataFrame:
+    """Leaves of records of which digest and length are known."""
+    h = F.sha2(F.concat_ws(":", "shard", "offset", "length", "digest"), 256)
+    return stored.select("shard", F.col("offset").alias("seq"), "page_id", "offset", "length", h.alias("hash"))
 
 
 def parents(level: DataFrame, width: int | None) -> DataFrame:
@@ -107,17 +117,12 @@ def audit(levels: list[tuple[DataFrame, int | None]]) -> DataFrame:
     raise ValueError("a tree has at least two levels")
 
 
-def damaged(replica: DataFrame) -> DataFrame:
-    """A replica with planted faults: about one record in 128 has a changed byte, one in 128 is lost."""
-    draw = F.substring(F.sha2(F.concat(F.lit("fault"), F.col("page_id").cast("string")), 256), 1, 2)
-    record = F.when(draw.isin("02", "03"), F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
-    return replica.filter(~F.coalesce(draw.isin("00", "01"), F.lit(False))).withColumn("record", record)
-
-
 def audit_pages(pages: DataFrame) -> DataFrame:
-    """Lays pages out as WARC shards, damages one replica and locates all its faults."""
-    a = layout(pages)
-    return audit(tree(leaves(a), leaves(damaged(a))))
+    """Lays pages out as WARC shards and locates the faults of a replica: about one record in 128 has a changed byte, one in 128 is lost."""
+    draw = F.substring(F.sha2(F.concat(F.lit("fault"), F.col("page_id").cast("string")), 256), 1, 2)
+    changed = F.sha2(F.when(draw.isin("02", "03"), F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record")), 256)
+    a = cut(laid_out(records(pages), changed.alias("found"), F.coalesce(draw.isin("00", "01"), F.lit(False)).alias("lost")), "warc-layout")
+    return audit(tree(hashed(a), hashed(a.filter("NOT lost").withColumn("digest", F.col("found")))))
 
 
 def write(records: DataFrame, path: str) -> None:
