@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FILLERS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall can this that these those it its"
-    " they them their we our you your he she his her very just also so then there here really quite rather basically actually"
+    "a all also an and any are as at be been being but by can could did do does during each every for from had has have in into is it its just may might no not of on or"
+    " shall should so some that the then these this those through to very was were will with would"
 ).split()
 
-ASCII_FORMS = (("→", "->"), ("±", "+/-"), ("★", "***"), ("⚠", "[!]"), ("≥", ">="), ("≤", "<="), ("≠", "!="), ("…", "..."), ("¬", "NOT "), ("×", "x"))
+#: In this order: longer signs before their parts.
+ASCII_FORMS = (("§CTX", "$CTX"), ("⊥", "CONFLICT:"), ("≡", "==="), ("⚠", "WARN:"), ("★", "***"), ("¬", "!"), ("→", "->"), ("±", "##"), ("§", "$CTX"))
 
 
 def query_tokens(text: Column) -> Column:
@@ -45,8 +46,8 @@ def canonical_name(name: Column) -> Column:
 
 def without_fillers(text: Column) -> Column:
     """Drops filler words; a text of fillers alone stays as it is."""
-    kept = F.filter(words(text), lambda w: ~F.lower(F.regexp_replace(w, "^[.,;:!?]+|[.,;:!?]+$", "")).isin(FILLERS))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(text)
+    kept = F.filter(words(text), lambda w: ~F.regexp_replace(F.lower(w), "[.,;:!?]+$", "").isin(FILLERS))
+    return F.coalesce(F.nullif(F.array_join(kept, " "), F.lit("")), text)
 
 
 def ascii_form(text: Column) -> Column:
@@ -60,10 +61,13 @@ def search_key(text: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(words(F.lower(text)))), " ")
 
 
+_KEPT = "@[\\p{L}\\p{N}_-]+|[0-9]+-[0-9]+|[A-Z][A-Z0-9_]+-[A-Z][A-Z0-9_]+"
+
+
 def dehyphenated(value: Column) -> Column:
-    """Hyphens in lower- or mixed-case words become blanks; references, numbers with hyphens and capitals keep them."""
-    keep = lambda w: w.startswith("@") | w.rlike("[0-9]-[0-9]") | (w == F.upper(w))
-    return F.array_join(F.transform(F.split(value, " "), lambda w: F.when(keep(w), w).otherwise(F.replace(w, F.lit("-"), F.lit(" ")))), " ")
+    """Hyphens become blanks, runs of blanks one; references, ranges of numbers and hyphenated capitals keep theirs, also inside longer words."""
+    parts = F.regexp_extract_all(value, F.lit(f"(?s)({_KEPT}|.)"), 1)
+    return F.regexp_replace(F.array_join(F.transform(parts, lambda p: F.when(p == "-", " ").otherwise(p)), ""), "  +", " ")
 
 
 def abbreviated(value: Column) -> Column:

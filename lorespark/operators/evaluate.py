@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
 
-RATES = {"small": 0.00025, "medium": 0.003, "large": 0.015}
+RATES = {
+    "o4-mini": 0.0011, "gpt-5.2": 0.005, "gpt-4o-mini": 0.00015, "gpt-4o": 0.0025, "gemini-2.5-pro": 0.00125, "gemini-2.5-flash-lite": 0.0, "gemini-2.5-flash": 0.00015,
+    "claude-sonnet-4-6": 0.003, "claude-sonnet-4-5-20250929": 0.003, "claude-sonnet-4-20250514": 0.003, "claude-opus-4-6": 0.015, "claude-haiku-4-5-20251001": 0.001, "claude-haiku-4-5": 0.001,
+}  # dollars for a thousand input tokens
+NOT_THERE = (
+    "cannot be determined", "does not contain", "does not mention", "does not specify", "doesn't contain", "doesn't mention", "doesn't specify", "no explicit", "no information", "not addressed",
+    "not available", "not covered", "not explicitly", "not found in context", "not in the context", "not included", "not mentioned", "not provided", "not specified",
+)
 DEFAULT_RATE = 0.003
 
 
@@ -22,8 +29,10 @@ def grades(results: DataFrame, by: str) -> DataFrame:
 
 
 def compression(texts: DataFrame, by: str, source: Column, compressed: Column) -> DataFrame:
-    """Words and estimated tokens before and after, and the ratio of words (0 where nothing is left)."""
-    g = texts.groupBy(by).agg(F.sum(T.word_count(source)).alias("source_words"), F.sum(T.word_count(compressed)).alias("words"), F.sum(T.estimated_tokens(source)).alias("source_tokens"), F.sum(T.estimated_tokens(compressed)).alias("tokens"))
+    """Words and estimated tokens before and after, and the ratio of words (0 where nothing is left). Each text is read once: the generator keeps what it measured."""
+    sides = F.array(F.struct(source.alias("s"), compressed.alias("c")))
+    measure = lambda x: F.struct(*[f(x[c]).alias(n) for n, f, c in (("source_words", T.word_count, "s"), ("words", T.word_count, "c"), ("source_tokens", T.estimated_tokens, "s"), ("tokens", T.estimated_tokens, "c"))])
+    g = texts.select(by, F.inline(F.transform(sides, measure))).groupBy(by).agg(*[F.sum(c).alias(c) for c in ("source_words", "words", "source_tokens", "tokens")])
     return g.withColumn("ratio", F.when(F.col("words") == 0, 0.0).otherwise(F.round(F.col("source_words") / F.nullif("words", F.lit(0)), 6)))
 
 
@@ -59,11 +68,18 @@ def flips(a: DataFrame, b: DataFrame, question: str, by: str) -> DataFrame:
 
 
 def answer_matches(answer: Column, expected: Column, share: float = 0.6) -> Column:
-    """An answer holds the expected terms: of its normalised words of three letters or more, the share occurs, also as a beginning."""
-    norm = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N} ]", " "), " +"), lambda w: F.length(w) > 2)
-    want, have = norm(expected), norm(answer)
-    hits = F.size(F.filter(want, lambda w: F.exists(have, lambda h: h.startswith(w))))
-    return F.when(F.size(want) == 0, F.lit(False)).otherwise(hits / F.greatest(F.size(want), F.lit(1)) >= share)
+    """Whether an answer holds what is expected: the whole of it, or the share of its words of three letters or more, each inside the
+    answer or, from three letters on, the beginning of one of its words or the other way round. NOT_IN_CONTEXT expects a phrase that says so."""
+    norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]", " "), " +", " "))
+    graded = F.transform(F.array(F.struct(norm(answer).alias("a"), norm(expected).alias("e"))), lambda s: _graded(s["a"], s["e"], share))[0]  # each side is normalised once
+    return F.when((F.coalesce(answer, F.lit("")) == "") | (F.coalesce(expected, F.lit("")) == ""), F.lit(False)).when(expected == "NOT_IN_CONTEXT", T.any_of(F.lower(answer), NOT_THERE)).otherwise(graded)
+
+
+def _graded(a: Column, e: Column, share: float) -> Column:
+    want = F.filter(F.split(e, " "), lambda w: F.length(w) > 2)
+    begins = lambda t: F.exists(F.split(a, " "), lambda w: (F.length(w) >= 3) & (w.startswith(t) | t.startswith(w)))
+    hits = F.size(F.filter(want, lambda t: a.contains(t) | begins(t)))
+    return a.contains(e) | ((F.size(want) > 0) & (hits / F.greatest(F.size(want), F.lit(1)) >= share))
 
 
 def content_version(rows: DataFrame, order: list[str], value: Column) -> DataFrame:

@@ -59,36 +59,39 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     return pairs.select("src", "dst").distinct().join(best, ["src", "dst"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, boost: DataFrame | None = None) -> DataFrame:
-    """(node, score): damping 0.85, the mass of dangling nodes spread evenly; edges of boosted callers (node, factor) weigh more.
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, boosted: DataFrame | None = None, boost: float = 3.0) -> DataFrame:
+    """(node, score): damping 0.85, the mass of nodes without edges spread evenly, scores adding up to 1.
 
-    Repeated edges count as often as they occur. ``n`` and the dangling mass are scalars of small aggregates.
+    Repeated edges count as often as they occur. ``boosted`` nodes (tests, for one) give away ``boost`` times their mass; each
+    round is divided by its total again, which is known from what was given away. That is a scalar of a small aggregate.
     """
-    w = edges.filter("src <> dst")
-    w = (w.join(boost.withColumnRenamed("node", "src"), "src", "left") if boost is not None else w.withColumn("factor", F.lit(None).cast("double"))).groupBy("src", "dst").agg(F.sum(F.coalesce("factor", F.lit(1.0))).alias("w"))
     known = nodes.select("node").distinct()
-    w = w.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    w = edges.select("src", "dst").join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    w = w.groupBy("src", "dst").agg(F.count("*").alias("w"))
     w = cut(w.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share"), "links")
     n = known.count()
     if not n:
         return known.withColumn("score", F.lit(0.0))
     sinks = known.join(w.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("sink", F.lit(True))
-    rank = cut(known.join(sinks, "node", "left").select("node", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("score")), "rank")
+    more = (known.limit(0) if boosted is None else boosted.select("node").distinct()).withColumn("gives", F.lit(float(boost)))
+    rank = known.join(sinks, "node", "left").join(more, "node", "left")
+    rank = cut(rank.select("node", F.coalesce("sink", F.lit(False)).alias("sink"), F.coalesce("gives", F.lit(1.0)).alias("gives"), F.lit(1.0 / n).alias("score")), "rank")
     for _ in range(rounds):
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0)).alias("lost"))
-        got = w.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        nxt = rank.drop("score").join(got, "node", "left").crossJoin(F.broadcast(lost))  # one row
-        rank = nxt.select("node", "sink", (F.lit((1 - DAMPING) / n) + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
-        rank = cut(rank, "rank")  # each round reads it three times
+        given = F.col("gives") * F.col("score")
+        total = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), given)), F.lit(0.0)).alias("lost"), F.sum(given).alias("all"))
+        got = w.join(rank.select(F.col("node").alias("src"), given.alias("given")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("given")).alias("got"))
+        nxt = rank.drop("score").join(got, "node", "left").crossJoin(F.broadcast(total))  # one row
+        raw = F.lit((1 - DAMPING) / n) + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
+        rank = cut(nxt.select("node", "sink", "gives", (raw / (F.lit(1 - DAMPING) + DAMPING * F.col("all"))).alias("score")), "rank")  # each round reads it three times
     return rank.select("node", "score")
 
 
 def topology(nodes: DataFrame, edges: DataFrame, hub: int = 3) -> DataFrame:
-    """(node, inbound, outbound, role): hub with ``hub`` inbound edges or more, leaf without an outbound one, else bridge."""
+    """(node, inbound, outbound, role): hub with ``hub`` inbound edges or more, leaf without one, else bridge."""
     i = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("inbound"))
     o = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("outbound"))
     t = nodes.join(i, "node", "left").join(o, "node", "left").na.fill(0, ["inbound", "outbound"])
-    return t.withColumn("role", F.when(F.col("inbound") >= hub, "hub").when(F.col("outbound") == 0, "leaf").otherwise("bridge"))
+    return t.withColumn("role", F.when(F.col("inbound") >= hub, "hub").when(F.col("inbound") == 0, "leaf").otherwise("bridge"))
 
 
 def resolve_callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
 
-WEAK = ("i don't know", "i do not know", "not in the context", "not mentioned", "not specified", "no information", "cannot determine", "can't determine", "unable to", "insufficient", "not provided", "unclear", "not available", "don't have enough")
-LOST = ("as i mentioned earlier", "in our previous", "i recall that", "from memory", "i believe we")
-CATALOG = ("list all", "show all", "what entities", "how many entities", "which entities", "all available", "catalog", "overview of")
+WEAK = (
+    "(error:", "based on the available context", "cannot determine", "cannot fully answer", "do not have enough", "don't have enough", "insufficient context", "need more context",
+    "no information about", "not available in the", "not enough information", "not found in context", "not specified in", "unable to determine",
+)
+LOST = ("based on my training", "from industry experience", "generally speaking", "not found in", "typically in")
+CATALOG = ("all the", "complete list", "every", "full list", "how many", "list all", "overview", "total")
 
 
 def needs_more(answer: Column) -> Column:
@@ -18,19 +23,29 @@ def needs_more(answer: Column) -> Column:
 
 
 def is_catalog_query(question: Column, custom: tuple[str, ...] = (), kind: str = "entities") -> Column:
-    q = F.lower(question)
-    return T.any_of(q, CATALOG + tuple(custom)) | q.rlike(f"what (\\w+ )?{kind} do we have")
+    """A question for counts, lists or an overview; an empty one is not."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    return (F.trim(q) != "") & (T.any_of(q, CATALOG + tuple(p.lower() for p in custom)) | q.rlike(f"what\\s+{re.escape(kind)}\\s+do\\s+we\\s+have"))
+
+
+def guard(answers: DataFrame, text: str, known: Column | None = None, custom: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``signals`` (phrases of lost context), ``unknown`` (names and ids that are not ``known``; none are where it is None) and ``advice``.
+
+    Two unknown names call for a new session, one for another try, signals alone for a warning.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    signals = F.array_compact(F.array(*[F.when(F.lower(t).contains(p.lower()), F.lit(p)) for p in LOST + tuple(custom)]))
+    found = [F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(p), 0))) for p in ("\\bENTITY-[A-Z][A-Z0-9-]+\\b", "\\b[A-Z]{2,3}-[0-9]+\\b")]
+    unknown = F.array().cast("array<string>") if known is None else F.concat(*[F.filter(f, lambda x: ~F.array_contains(known, x)) for f in found])
+    a = answers.withColumn("signals", signals).withColumn("unknown", unknown)
+    return a.withColumn("advice", F.when(F.size("unknown") >= 2, "new_session").when(F.size("unknown") == 1, "retry").when(F.size("signals") > 0, "warn").otherwise("ok"))
 
 
-def guard(answers: DataFrame, text: str, known_names: Column, known_ids: Column, custom: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``signals`` (how many phrases of lost context), ``unknown_names``, ``unknown_ids`` and ``advice``: ok, warn, retry or new_session."""
-    t = F.col(text)
-    signals = sum((F.lower(t).contains(p).cast("int") for p in LOST + tuple(custom)), F.lit(0))
-    names = F.array_distinct(F.regexp_extract_all(t, F.lit("ENTITY-([A-Z0-9][A-Z0-9-]*)"), 1))
-    ids = F.array_distinct(F.regexp_extract_all(t, F.lit("\\b([A-Z]{2,4}-[0-9]+)\\b"), 1))
-    a = answers.withColumn("signals", signals).withColumn("unknown_names", F.array_except(names, known_names)).withColumn("unknown_ids", F.array_except(ids, known_ids))
-    bad = F.col("signals") + F.size("unknown_names") + F.size("unknown_ids")
-    return a.withColumn("advice", F.when(bad == 0, "ok").when(bad == 1, "warn").when(bad <= 3, "retry").otherwise("new_session"))
+def correction(advice: Column, signals: Column, unknown: Column, known: Column) -> Column:
+    """What to tell the model before its next turn; empty where all was well."""
+    names = F.concat(F.lit("Some names in the last answer are not in the catalogue. Use only these: "), F.array_join(F.array_sort(known), ", "))
+    weak = F.lit("The last answer showed low confidence. Use only what the given context says.")
+    return F.when(advice == "ok", "").when((F.size(unknown) > 0) & (F.size(known) > 0), names).when(F.size(signals) > 0, weak).otherwise("")
 
 
 def missing_required(rows: DataFrame, required: dict[str, Column], code: str) -> Column:
@@ -44,9 +59,15 @@ def prefix_catalog(names: DataFrame, name: str) -> DataFrame:
     return names.select(F.when(p == "", "OTHER").otherwise(p).alias("prefix")).rollup("prefix").agg(F.count("*").alias("n"))
 
 
-def classify_symbol(name: Column, is_function: Column) -> Column:
-    """hook (useX), component (capital), function; constants in capitals, other values as their kind says."""
-    return F.when(is_function & name.rlike("^use[A-Z]"), "hook").when(is_function & name.rlike("^[A-Z]"), "component").when(is_function, "function").when(name.rlike("^[A-Z][A-Z0-9_]*$"), "const").otherwise("type")
+def classify_symbol(name: Column, is_function: Column, renders: Column, declared: Column) -> Column:
+    """Kind of a TypeScript symbol, ``declared`` as function, const, class, type, interface or enum: a hook by its name (useX), a
+    component by a capital and markup in its body (or a factory around it), else what the declaration says."""
+    capital = name.rlike("^[A-Z]") & renders
+    return (
+        F.when(declared.isin("class"), "class").when(declared.isin("type", "interface", "enum"), "type")
+        .when((declared == "const") & capital, "component").when(name.rlike("^use[A-Z]") & is_function, "hook")
+        .when((declared == "function") & capital, "component").otherwise(F.when(declared == "function", "function").otherwise("const"))
+    )
 
 
 def detect_frameworks(imports: DataFrame, by: str, name: str, marks: dict[str, str]) -> DataFrame:

@@ -92,20 +92,21 @@ def entity_salience(e: DataFrame) -> DataFrame:
     return e.withColumn("salience", F.greatest(base * F.when(F.col("golden"), 1.5).otherwise(1.0), F.lit(1.0)))
 
 
-IMPORTANT = ("IDENTIFIER", "MATCH-RULES", "PII", "RETENTION", "STATUS-FLOW", "GOLDEN-SOURCE")
 RELATIONS = ("BELONGS-TO", "HAS-MANY", "HAS-ONE", "DEPENDS-ON", "REFERENCES")
+PRESETS = {"conservative": 0.0, "balanced": 0.35, "aggressive": 0.6}
 
 
 def field_salience(key: Column, value: Column) -> Column:
-    """The product of what makes a field matter: marks, an important or relationship key, a time window, a guard."""
-    m = F.when(value.contains("★"), 2.0).otherwise(1.0) * F.when(value.contains("⚠"), 1.5).otherwise(1.0)
-    m = m * F.when(key.isin(*IMPORTANT), 1.3).otherwise(1.0) * F.when(key.isin(*RELATIONS), 1.2).otherwise(1.0)
-    return m * F.when(value.rlike("±[0-9]+[dwm]"), 1.1).otherwise(1.0) * F.when(value.rlike("(only-if|when|if)\\("), 1.3).otherwise(1.0)
+    """The product of what makes a field matter: a starred key, a warning, an identifying or relationship key, a time window, a guard."""
+    m = F.when(key.startswith("★"), 2.0).otherwise(1.0) * F.when(value.contains("⚠"), 1.5).otherwise(1.0)
+    m = m * F.when(key.isin("IDENTIFIER", "MATCH-RULES", "PII", "PII-CLASSIFICATION"), 1.3).otherwise(1.0) * F.when(key.isin(*RELATIONS), 1.2).otherwise(1.0)
+    return m * F.when(value.rlike("±[0-9]+[dwm]\\b"), 1.1).otherwise(1.0) * F.when(value.rlike("\\b(?:only-if|when|if)\\([^)]+\\)"), 1.3).otherwise(1.0)
 
 
 def must_preserve(key: Column, value: Column) -> Column:
-    """Fields that no budget drops: an important key, a truth value, or a single short token."""
-    return key.isin(*IMPORTANT) | F.lower(value).isin("true", "false", "yes", "no") | (~value.rlike("\\s") & (F.length(value) < 20))
+    """Fields that no budget drops: the identifier, the golden source, a switch, or a single token of under 20 characters."""
+    v = F.regexp_replace(value, "^\\s+|\\s+$", "")
+    return key.isin("IDENTIFIER", "★GOLDEN-SOURCE") | F.lower(v).isin("true", "false", "yes", "no", "enabled", "disabled") | ((v != "") & ~v.rlike("\\s") & (F.length(v) < 20))
 
 
 def budget_decision(keep: Column, salience: Column, threshold: float) -> Column:

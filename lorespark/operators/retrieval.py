@@ -5,6 +5,7 @@ All rankings take many queries at once; each query's rows are ranked by a window
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
+from lorespark.functions.cuts import cut
 
 K1, B = 1.5, 0.75
+MOST_TERMS = 1_000_000
 
 
 def exploded(df: DataFrame, id_col: str, text_col: str, tokens=T.query_tokens) -> DataFrame:
@@ -27,24 +30,38 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _terms(q: DataFrame) -> DataFrame:
+    """The questions' side of a join on terms: a copy for every executor while it has at most MOST_TERMS rows, else shuffled."""
+    q = cut(q, "terms")
+    return F.broadcast(q) if q.count() <= MOST_TERMS else q
+
+
 def overlap(queries: DataFrame, sections: DataFrame, qid: str, sid: str) -> DataFrame:
-    """(qid, sid, score): the share of a query's distinct tokens that a section has; without overlap there is no row."""
+    """(qid, sid, score): the share of a query's distinct tokens that a section has; without overlap there is no row.
+
+    Tokens meet the questions' terms where they are read; what is shuffled is a count for each question and section.
+    """
     q = queries.select(qid, F.array_distinct(T.query_tokens(F.col("text"))).alias("q")).filter(F.size("q") > 0)
-    q = q.select(qid, F.size("q").alias("n"), F.explode("q").alias("term"))
+    q = _terms(q.select(qid, F.size("q").alias("n"), F.explode("q").alias("term")))
     s = sections.select(sid, F.explode(F.array_distinct(T.query_tokens(F.col("text")))).alias("term"))
     return s.join(q, "term").groupBy(qid, sid, "n").agg(F.count("*").alias("hits")).select(qid, sid, (F.col("hits") / F.col("n")).alias("score"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, qid: str, did: str, tokens=T.query_tokens) -> DataFrame:
-    """(qid, did, score) of positive scores; a term counts as often as the query repeats it."""
-    d = exploded(docs, did, "text", tokens)
-    tf = d.groupBy(did, "term").agg(F.count("*").alias("f"))
+    """(qid, did, score) of positive scores; a term counts as often as the query repeats it.
+
+    The corpus is tokenised once. Terms that no question has fall together as one null term of their document before
+    anything is shuffled, so that lengths are kept and the table of counts follows the questions, not the vocabulary.
+    """
+    q = cut(exploded(queries, qid, "text", tokens).groupBy(qid, "term").agg(F.count("*").alias("times")), "questions")
+    asked = _terms(q.select("term").distinct()).withColumn("asked", F.lit(True))
+    d = exploded(docs, did, "text", tokens).join(asked, "term", "left").select(did, F.when(F.col("asked"), F.col("term")).alias("term"))
+    tf = cut(d.groupBy(did, "term").agg(F.count("*").alias("f")), "counts")
     size = tf.groupBy(did).agg(F.sum("f").alias("len"))
-    total = docs.agg(F.count("*").alias("n_docs")).crossJoin(size.agg(F.sum("len").alias("all_len")))
-    q = exploded(queries, qid, "text", tokens).groupBy(qid, "term").agg(F.count("*").alias("times"))
-    hit = tf.join(q.select("term").distinct(), "term", "left_semi")
+    total = docs.agg(F.count("*").alias("n_docs")).crossJoin(tf.agg(F.sum("f").alias("all_len")))  # one row each
+    hit = tf.filter("term IS NOT NULL")
     df_ = hit.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hit.join(df_, "term").join(size, did).crossJoin(total).join(q, "term")
+    joined = hit.join(df_, "term").join(size, did).crossJoin(F.broadcast(total)).join(q, "term")
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.lit(1 - B) + F.lit(B) * F.col("len") / (F.col("all_len") / F.col("n_docs"))
     part = F.col("times") * idf * F.col("f") * (K1 + 1) / (F.col("f") + F.lit(K1) * norm)
@@ -74,25 +91,32 @@ def lookup(requests: DataFrame, sections: DataFrame, name: str = "name", order:
 
 
 def keyword_hits(keywords: DataFrame, texts: DataFrame, kid: str, tid: str) -> DataFrame:
-    """(kid, tid, hits): occurrences of keywords as whole words, by token equality."""
-    t = texts.select(tid, F.explode(T.query_tokens(F.col("text"))).alias("w"))
-    return t.join(keywords.select(kid, F.lower("keyword").alias("w")), "w").groupBy(kid, tid).agg(F.count("*").alias("hits"))
-
-
-def cosine_top_k(vectors: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048) -> DataFrame:
-    """(id, other, score, rank): for every vector its ``k`` nearest others by cosine; a zero vector scores 0.
-
-    Exact: vectors are packed into blocks, every pair of blocks is one matrix product, and only the best ``k`` of each
-    block reach the final ranking. The number of blocks follows the number of vectors.
+    """(kid, tid, hits): occurrences of keywords as whole words, in any case. A keyword of several words or with hyphens is the row
+    of its words: its first word is found by an equi join, the words after it are compared in place."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}]+)"), 1)
+    k = keywords.select(kid, words(F.col("keyword")).alias("k")).filter(F.size("k") > 0).select(kid, "k", F.col("k")[0].alias("w"))
+    longest = k.agg(F.max(F.size("k"))).first()[0] or 1
+    t = texts.select(tid, words(F.col("text")).alias("ws")).select(tid, F.posexplode("ws").alias("at", "w"), "ws") if longest > 1 else texts.select(tid, F.explode(words(F.col("text"))).alias("w"))
+    if longest > 1:
+        t = t.select(tid, "w", F.slice("ws", F.col("at") + 1, longest).alias("here"))
+    hit = t.join(_terms(k), "w")
+    return (hit.filter(F.slice("here", 1, F.size("k")) == F.col("k")) if longest > 1 else hit).groupBy(kid, tid).agg(F.count("*").alias("hits"))
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048) -> DataFrame:
+    """(id, other, score, rank): for every query vector its ``k`` nearest others by cosine; a zero vector scores 0.
+
+    Exact: queries and vectors are packed into blocks, each block of queries meets each block of vectors in one matrix product,
+    and only its best ``k`` reach the final ranking. The number of blocks follows the number of vectors.
     """
-    n = max(1, -(-vectors.count() // block))
 
     def pack(table: pa.Table) -> pa.Table:
-        v = np.array(table.column(vec_col).to_pylist(), np.float64)
+        col = table.column(vec_col).combine_chunks()
+        v = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
         ids = table.column(id_col).to_numpy().astype(np.int64)
-        return pa.table({"b": table.column("b").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "vecs": pa.array([v.tobytes()], pa.binary())})
+        return pa.table({"ids": pa.array([ids.tobytes()], pa.binary()), "vecs": pa.array([v.tobytes()], pa.binary())})
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,14 +125,17 @@ def cosine_top_k(vectors: DataFrame, id_col: str, vec_col: str, k: int, block: i
                 u, v = (np.frombuffer(b.column(c)[i].as_buffer(), np.float64).reshape(m, -1) for c, m in ((1, len(x)), (3, len(y))))
                 s = np.round(u @ v.T, 6)
                 s[x[:, None] == y[None, :]] = -2
-                for r in range(len(x)):
-                    best = np.lexsort((y, -s[r]))[: k + 1]
-                    best = best[s[r][best] > -2][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), x[r])), pa.array(y[best]), pa.array(s[r][best])], names=[id_col, "other", "score"])
-
-    packed = vectors.select(id_col, vec_col, F.pmod(F.hash(id_col), F.lit(n)).alias("b")).groupBy("b").applyInArrow(pack, "b int, ids binary, vecs binary")
-    left, right = packed.select("ids", "vecs"), packed.select(F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2"))
-    near = left.crossJoin(right).mapInArrow(multiply, f"{id_col} long, other long, score double")
+                o = np.lexsort((np.broadcast_to(y, s.shape), -s), axis=1)[:, :k]
+                best, who = np.take_along_axis(s, o, 1).ravel(), np.repeat(x, o.shape[1])
+                ok = best > -2
+                yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(y[o].ravel()[ok]), pa.array(best[ok])], names=[id_col, "other", "score"])
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        return cut(df.select(id_col, vec_col, F.pmod(F.xxhash64(id_col), F.lit(n)).alias("b")).groupBy("b").applyInArrow(pack, "ids binary, vecs binary"), name)
+
+    left, right = packed(queries, "asking"), packed(vectors, "vectors").select(F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2"))
+    near = left.crossJoin(right).mapInArrow(multiply, f"{id_col} long, other long, score double")  # blocks, not rows
     return top_k(near, [id_col], [F.col("score").desc(), F.col("other")], k)
 
 
@@ -125,12 +152,57 @@ def evict(df: DataFrame, by: list[str], keep_first: list[Column], cost: str, bud
 
 
 def proportional_budget(df: DataFrame, salience: str, total: Column, floor: int) -> DataFrame:
-    """Each row's share of the total by salience, ``floor`` at least."""
-    share = F.floor(total * F.col(salience) / F.sum(salience).over(Window.partitionBy(F.lit(0))))
-    return df.withColumn("budget", F.greatest(share, F.lit(floor)).cast("long"))
+    """Each row's share of the total by salience, ``floor`` at least; the sum is one row, not a window over all."""
+    whole = F.broadcast(df.agg(F.sum(salience).alias("whole_")))
+    return df.crossJoin(whole).withColumn("budget", F.greatest(F.floor(total * F.col(salience) / F.col("whole_")), F.lit(floor)).cast("long")).drop("whole_")
+
+
+def chunk_text(text: str, most: int = 500, overlap_: int = 50) -> list[str]:
+    """Chunks of about ``most`` words: whole paragraphs, of which the last is repeated in the next chunk; a longer paragraph falls into
+    sentences, of which the last two are repeated."""
+    out: list[str] = []
+    held: list[str] = []
+    size = lambda parts: sum(len(p.split()) for p in parts)
+    flush = lambda parts, joint: out.append(joint.join(parts)) if parts else None
+    for par in (p.strip() for p in re.split(r"\n\s*\n", text or "")):
+        if not par:
+            continue
+        n = len(par.split())
+        if n > most:
+            flush(held, "\n\n")
+            held, row, words = [], [], 0
+            for s in re.split(r"(?<=[.!?])\s+", par):
+                m = len(s.split())
+                if row and words + m > most:
+                    flush(row, " ")
+                    row = [" ".join(row[-2:]), s] if len(row) > 1 else [s]
+                    words = size(row)
+                else:
+                    row, words = [*row, s], words + m
+            flush(row, " ")
+            continue
+        if held and size(held) + n > most:
+            flush(held, "\n\n")
+            held = held[-1:] if overlap_ > 0 else []
+        held.append(par)
+    flush(held, "\n\n")
+    return [c.strip() for c in out if c.strip()]
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, size: int = 500, overlap_: int = 50) -> DataFrame:
+    """(id, chunk, text): :func:`chunk_text` of whole texts. The overlap depends on what earlier chunks hold, which no expression of
+    Spark's says, so Arrow batches go through Python once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
+                rows = [(d, i, c) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, c in enumerate(chunk_text(t, size, overlap_))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=[id_col, "chunk", "text"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, chunk long, text string")
+
+
+def word_windows(df: DataFrame, id_col: str, text_col: str, size: int = 500, overlap_: int = 50) -> DataFrame:
     """(id, chunk, text): windows of ``size`` words that overlap by ``overlap_``, whole texts, in the JVM."""
     w = df.select(id_col, T.words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
     step = size - overlap_

@@ -13,7 +13,7 @@ from lorespark.operators import resolve as R
 from lorespark.operators import retrieval
 from lorespark.sources import corpus, documents
 
-CODES = ("not_found", "invalid_argument", "ambiguous", "unreadable", "unsupported", "stale", "budget_exceeded", "internal")
+CODES = ("budget_exceeded", "ignored_path", "internal_parse_error", "invalid_input", "pack_not_loaded", "path_outside_root", "unknown_module", "unknown_symbol")
 
 
 def envelope(code: str, message: str, hint: str = "") -> dict:

@@ -62,9 +62,9 @@ def dominant_pattern(spark, d):
     return c.groupBy("p_brand").agg(best.alias("b")).select("p_brand", F.col("b.p_type").alias("pattern"), "b.n")
 
 
-@query("ascii_forms", "SELECT c_custkey, c_name || ' -> ' || c_mktsegment || ' >= ... +/-3d [!]' AS form FROM customer")
+@query("ascii_forms", "SELECT c_custkey, '$CTX ' || c_name || ' -> ' || c_mktsegment || ' ##3d WARN: *** !x === CONFLICT: ≥' AS form FROM customer")
 def ascii_forms(spark, d):
-    return table(spark, d, "customer").select("c_custkey", T.ascii_form(F.concat("c_name", F.lit(" → "), "c_mktsegment", F.lit(" ≥ … ±3d ⚠"))).alias("form"))
+    return table(spark, d, "customer").select("c_custkey", T.ascii_form(F.concat(F.lit("§CTX "), "c_name", F.lit(" → "), "c_mktsegment", F.lit(" ±3d ⚠ ★ ¬x ≡ ⊥ ≥"))).alias("form"))
 
 
 @query("search_keys", f"SELECT item_id, array_to_string(list_sort(list_distinct({WORDS.format(t='lower(text)')})), ' ') AS search_key, sha256(text) AS question_hash FROM benchmark")

@@ -19,7 +19,8 @@ def grade_by_group(spark, d):
 
 
 FILLED = WORDS.format(t="text")
-KEPT = f"list_filter({FILLED}, lambda x: NOT list_contains([{', '.join(repr(f) for f in T.FILLERS)}], lower(regexp_replace(x, '^[.,;:!?]+|[.,;:!?]+$', '', 'g'))))"
+FILLERS = "'a', 'all', 'also', 'an', 'and', 'any', 'are', 'as', 'at', 'be', 'been', 'being', 'but', 'by', 'can', 'could', 'did', 'do', 'does', 'during', 'each', 'every', 'for', 'from', 'had', 'has', 'have', 'in', 'into', 'is', 'it', 'its', 'just', 'may', 'might', 'no', 'not', 'of', 'on', 'or', 'shall', 'should', 'so', 'some', 'that', 'the', 'then', 'these', 'this', 'those', 'through', 'to', 'very', 'was', 'were', 'will', 'with', 'would'"
+KEPT = f"list_filter({FILLED}, lambda x: NOT list_contains([{FILLERS}], lower(regexp_replace(x, '[.,;:!?]+$', ''))))"
 
 
 @query("compression_ratio", f"""
@@ -34,10 +35,11 @@ def latency_percentiles(spark, d):
     return E.latency(table(spark, d, "events"), "event_type", "value")
 
 
-@query("token_cost", "SELECT doc_id, round(greatest(1, length(text) // 4) / 1000.0 * CASE lang WHEN 'en' THEN 0.00025 WHEN 'fr' THEN 0.015 ELSE 0.003 END, 9) AS cost FROM documents")
+@query("token_cost", "SELECT doc_id, round(greatest(1, length(text) // 4) / 1000.0 * CASE lang WHEN 'en' THEN 0.015 WHEN 'fr' THEN 0.0025 WHEN 'de' THEN 0.00015 ELSE 0.003 END, 9) AS cost FROM documents")
 def token_cost(spark, d):
-    t = table(spark, d, "documents").withColumn("tokens", T.estimated_tokens(F.col("text")))
-    return E.token_cost(t, "tokens", "lang", {"en": 0.00025, "fr": 0.015}).select("doc_id", F.round("cost", 9).alias("cost"))
+    model = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "claude-opus-4-6", "fr", "gpt-4o", "de", "gpt-4o-mini")]), F.col("lang"))
+    t = table(spark, d, "documents").withColumn("tokens", T.estimated_tokens(F.col("text"))).withColumn("model", F.coalesce(model, F.lit("another")))
+    return E.token_cost(t, "tokens", "model").select("doc_id", F.round("cost", 9).alias("cost"))
 
 
 @query("quality_gates", """
@@ -66,15 +68,16 @@ def paired_flips(spark, d):
     return E.flips(a, view(spark, d, "SELECT l_orderkey AS q, max(l_discount) > 0.05 AS correct, count(*) AS answer_len FROM lineitem GROUP BY 1"), "q", "g")
 
 
-NORM = "list_filter(string_split_regex(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}} ]', ' ', 'g'), ' +'), lambda x: length(x) > 2)"
+NORM = "trim(regexp_replace(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 @query("answer_match", f"""
-WITH p AS (SELECT a.conv_id, a.turn, {NORM.format(c="a.text")} AS want, {NORM.format(c="b.text")} AS have FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, CASE WHEN len(want) = 0 THEN false ELSE len(list_filter(want, lambda w: len(list_filter(have, lambda h: starts_with(h, w))) > 0))::DOUBLE / len(want) >= 0.2 END AS matches FROM p""")
+WITH p AS (SELECT a.conv_id, a.turn, a.text AS raw, {NORM.format(c="a.text")} AS e, {NORM.format(c="b.text")} AS a FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+w AS (SELECT *, list_filter(string_split(e, ' '), lambda x: length(x) > 2) AS want, list_filter(string_split(a, ' '), lambda x: length(x) >= 3) AS have FROM p)
+SELECT conv_id, turn, contains(a, e) OR (len(want) > 0 AND len(list_filter(want, lambda t: contains(a, t) OR len(list_filter(have, lambda h: starts_with(h, t) OR starts_with(t, h))) > 0))::DOUBLE / greatest(len(want), 1) >= 0.6) AS matches FROM w""")
 def answer_match(spark, d):
     p = view(spark, d, "SELECT a.conv_id, a.turn, a.text AS expected, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
-    return p.select("conv_id", "turn", E.answer_matches(F.col("answer"), F.col("expected"), 0.2).alias("matches"))
+    return p.select("conv_id", "turn", E.answer_matches(F.col("answer"), F.col("expected")).alias("matches"))
 
 
 @query("content_version", """

@@ -57,22 +57,31 @@ def shortest_path(spark, d):
     return G.shortest_paths(e, q, 4).withColumn("path", F.array_join("path", ">"))
 
 
-def _pagerank_sql(rounds: int) -> str:
-    """The rounds unrolled into CTEs."""
-    ctes = [f"l AS ({LINKS})", "nd AS (SELECT s_suppkey AS node, (SELECT count(*) FROM supplier)::DOUBLE AS n FROM supplier)", "w AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM l)", "r0 AS (SELECT node, n, 1 / n AS score FROM nd)"]
+def _pagerank_sql(rounds: int, gives: str) -> str:
+    """The rounds unrolled into tables."""
+    ctes = [
+        f"l AS MATERIALIZED ({LINKS})", f"nd AS MATERIALIZED (SELECT s_suppkey AS node, (SELECT count(*) FROM supplier)::DOUBLE AS n, s_suppkey NOT IN (SELECT src FROM l) AS sink, {gives}::DOUBLE AS g FROM supplier)",
+        "w AS MATERIALIZED (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM l)", "r0 AS MATERIALIZED (SELECT node, sink, g, 1 / n AS score FROM nd)",
+    ]
     for k in range(rounds):
-        ctes.append(f"r{k + 1} AS (SELECT node, n, 0.15 / n + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(score), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM l)) / n) AS score FROM nd LEFT JOIN (SELECT dst, sum(share * score) AS got FROM w JOIN r{k} ON src = node GROUP BY 1) ON dst = node)")
+        ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT node, sink, g, (0.15 / n + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(score * g) FILTER (WHERE sink), 0) FROM r{k}) / n)) / (0.15 + 0.85 * (SELECT sum(score * g) FROM r{k})) AS score FROM nd LEFT JOIN (SELECT dst, sum(share * score * g) AS got FROM w JOIN r{k} ON src = node GROUP BY 1) ON dst = node)")
     return f"WITH {', '.join(ctes)} SELECT node, round(score, 9) AS score FROM r{rounds}"
 
 
-@query("pagerank", _pagerank_sql(5))
+@query("pagerank", _pagerank_sql(30, "1"))
 def pagerank(spark, d):
     return G.pagerank(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), _links(spark, d)).withColumn("score", F.round("score", 9))
 
 
+@query("pagerank_boosted", _pagerank_sql(30, "CASE WHEN s_acctbal < 0 THEN 3 ELSE 1 END"))
+def pagerank_boosted(spark, d):
+    s = table(spark, d, "supplier")
+    return G.pagerank(s.select(F.col("s_suppkey").alias("node")), _links(spark, d), boosted=s.filter("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))).withColumn("score", F.round("score", 9))
+
+
 @query("topology", f"""
 WITH l AS ({LINKS}), i AS (SELECT dst AS node, count(*) AS inbound FROM l GROUP BY 1), o AS (SELECT src AS node, count(*) AS outbound FROM l GROUP BY 1)
-SELECT s_suppkey AS node, coalesce(inbound, 0) AS inbound, coalesce(outbound, 0) AS outbound, CASE WHEN coalesce(inbound, 0) >= 3 THEN 'hub' WHEN coalesce(outbound, 0) = 0 THEN 'leaf' ELSE 'bridge' END AS role FROM supplier LEFT JOIN i ON i.node = s_suppkey LEFT JOIN o ON o.node = s_suppkey""")
+SELECT s_suppkey AS node, coalesce(inbound, 0) AS inbound, coalesce(outbound, 0) AS outbound, CASE WHEN coalesce(inbound, 0) >= 3 THEN 'hub' WHEN coalesce(inbound, 0) = 0 THEN 'leaf' ELSE 'bridge' END AS role FROM supplier LEFT JOIN i ON i.node = s_suppkey LEFT JOIN o ON o.node = s_suppkey""")
 def topology(spark, d):
     return G.topology(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), _links(spark, d))
 

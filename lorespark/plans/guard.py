@@ -9,28 +9,39 @@ from lorespark.operators import guard as G
 from lorespark.plans.base import table, view
 
 
-def _or(column: str, phrases) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{p.replace(chr(39), chr(39) * 2)}')" for p in phrases) + ")"
+def _or(column: str, phrases: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in phrases.split("|")) + ")"
 
 
-@query("weak_answers", f"SELECT conv_id, turn, trim(coalesce(text, '')) = '' OR {_or('lower(text)', G.WEAK)} OR contains(lower(text), 'unable to') AS weak FROM conversations")
+WEAK = "not found in context|not enough information|cannot fully answer|don''t have enough|do not have enough|based on the available context|not available in the|insufficient context|need more context|no information about|not specified in|cannot determine|unable to determine|(error:"
+
+
+@query("weak_answers", f"WITH t AS (SELECT conv_id, turn, text || CASE turn % 5 WHEN 0 THEN ' I Cannot Determine it' WHEN 1 THEN ' (error: none)' ELSE '' END AS text FROM conversations) SELECT conv_id, turn, trim(coalesce(text, '')) = '' OR {_or('lower(text)', WEAK)} AS weak FROM t")
 def weak_answers(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", G.needs_more(F.col("text")).alias("weak"))
+    t = view(spark, d, "SELECT conv_id, turn, concat(text, CASE turn % 5 WHEN 0 THEN ' I Cannot Determine it' WHEN 1 THEN ' (error: none)' ELSE '' END) AS text FROM conversations")
+    return t.select("conv_id", "turn", G.needs_more(F.col("text")).alias("weak"))
 
 
-@query("catalog_intent", f"SELECT conv_id, turn, {_or('lower(text)', G.CATALOG + ('please',))} OR regexp_matches(lower(text), 'what (\\w+ )?entities do we have') AS listing FROM conversations")
+@query("catalog_intent", f"""
+WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'What entities  do we have ' WHEN 1 THEN 'How MANY ' ELSE '' END || text AS text FROM conversations)
+SELECT conv_id, turn, trim(text) <> '' AND ({_or('lower(text)', 'how many|list all|total|every|all the|overview|full list|complete list|please')} OR regexp_matches(lower(text), 'what\\s+entities\\s+do\\s+we\\s+have')) AS listing FROM t""")
 def catalog_intent(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", G.is_catalog_query(F.col("text"), ("please",)).alias("listing"))
+    t = view(spark, d, "SELECT conv_id, turn, concat(CASE turn % 4 WHEN 0 THEN 'What entities  do we have ' WHEN 1 THEN 'How MANY ' ELSE '' END, text) AS text FROM conversations")
+    return t.select("conv_id", "turn", G.is_catalog_query(F.col("text"), ("please",)).alias("listing"))
+
+
+SAID = "CASE turn % 4 WHEN 0 THEN ' see ENTITY-USER, ENTITY-ROW-A and AB-12' WHEN 1 THEN ' Generally speaking, typically in ABCD-7' WHEN 2 THEN ' ENTITY-USER has AB-12' ELSE '' END"
 
 
 @query("context_guard", f"""
-WITH t AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' see ENTITY-USER and ENTITY-ROW, AB-12' WHEN 1 THEN ' from memory, as I mentioned earlier XY-' || conv_id ELSE '' END AS a FROM conversations),
-s AS (SELECT conv_id, turn, {" + ".join(f"contains(lower(a), '{p}')::INT" for p in G.LOST)} AS signals, len(list_filter(list_distinct(regexp_extract_all(a, 'ENTITY-([A-Z0-9][A-Z0-9-]*)', 1)), lambda x: x <> 'USER')) AS names, len(list_filter(list_distinct(regexp_extract_all(a, '\\b([A-Z]{{2,4}}-[0-9]+)\\b', 1)), lambda x: x <> 'AB-12')) AS ids FROM t)
-SELECT conv_id, turn, signals, names, ids, CASE WHEN signals + names + ids = 0 THEN 'ok' WHEN signals + names + ids = 1 THEN 'warn' WHEN signals + names + ids <= 3 THEN 'retry' ELSE 'new_session' END AS advice FROM s""")
+WITH t AS (SELECT conv_id, turn, text || {SAID} AS a FROM conversations),
+s AS (SELECT conv_id, turn, {" + ".join(f"contains(lower(a), '{p}')::INT" for p in ("not found in", "from industry experience", "based on my training", "generally speaking", "typically in"))} AS signals,
+  len(list_filter(list_distinct(regexp_extract_all(a, '\\bENTITY-[A-Z][A-Z0-9-]+\\b')), lambda x: x <> 'ENTITY-USER' AND x <> 'AB-12')) + len(list_filter(list_distinct(regexp_extract_all(a, '\\b[A-Z]{{2,3}}-[0-9]+\\b')), lambda x: x <> 'ENTITY-USER' AND x <> 'AB-12')) AS unknown FROM t)
+SELECT conv_id, turn, signals, unknown, CASE WHEN unknown >= 2 THEN 'new_session' WHEN unknown = 1 THEN 'retry' WHEN signals > 0 THEN 'warn' ELSE 'ok' END AS advice FROM s""")
 def context_guard(spark, d):
-    t = view(spark, d, "SELECT conv_id, turn, concat(text, CASE turn % 3 WHEN 0 THEN ' see ENTITY-USER and ENTITY-ROW, AB-12' WHEN 1 THEN concat(' from memory, as I mentioned earlier XY-', conv_id) ELSE '' END) AS a FROM conversations")
-    g = G.guard(t, "a", F.array(F.lit("USER")), F.array(F.lit("AB-12")))
-    return g.select("conv_id", "turn", "signals", F.size("unknown_names").alias("names"), F.size("unknown_ids").alias("ids"), "advice")
+    t = view(spark, d, f"SELECT conv_id, turn, concat(text, {SAID}) AS a FROM conversations")
+    g = G.guard(t, "a", F.array(F.lit("ENTITY-USER"), F.lit("AB-12")))
+    return g.select("conv_id", "turn", F.size("signals").alias("signals"), F.size("unknown").alias("unknown"), "advice")
 
 
 @query("validation", """
@@ -48,17 +59,18 @@ def catalog_summary(spark, d):
     return G.prefix_catalog(view(spark, d, "SELECT concat(CASE p_size % 3 WHEN 0 THEN 'PR' WHEN 1 THEN 'STD' ELSE 'LARGE' END, '-', p_partkey) AS name FROM part"), "name")
 
 
-NAMES = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN upper(p_type) ELSE p_name END AS name, p_size % 3 <> 0 AS fn FROM part"
+NAMES = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN upper(p_type) ELSE p_name END AS name, p_size % 3 <> 0 AS fn, p_size % 5 < 3 AS jsx, CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'type' WHEN 2 THEN 'function' ELSE 'const' END AS w FROM part"
 
 
 @query("symbol_kinds", f"""
-WITH n AS ({NAMES.format(a="'use' || upper(p_type)", b="upper(p_name[1]) || p_name[2:]")}) SELECT p_partkey, CASE WHEN fn AND regexp_matches(name, '^use[A-Z]') THEN 'hook' WHEN fn AND regexp_matches(name, '^[A-Z]') THEN 'component' WHEN fn THEN 'function' WHEN regexp_matches(name, '^[A-Z][A-Z0-9_]*$') THEN 'const' ELSE 'type' END AS kind FROM n""")
+WITH n AS ({NAMES.format(a="'use' || upper(p_type)", b="upper(p_name[1]) || p_name[2:]")}) SELECT p_partkey, CASE WHEN w IN ('class', 'type') THEN w WHEN w = 'const' AND jsx AND regexp_matches(name, '^[A-Z]') THEN 'component'
+  WHEN (fn OR w = 'function') AND regexp_matches(name, '^use[A-Z]') THEN 'hook' WHEN jsx AND regexp_matches(name, '^[A-Z]') THEN 'component' ELSE w END AS kind FROM n""")
 def symbol_kinds(spark, d):
     n = view(spark, d, NAMES.format(a="concat('use', upper(p_type))", b="concat(upper(substring(p_name, 1, 1)), substring(p_name, 2))"))
-    return n.select("p_partkey", G.classify_symbol(F.col("name"), F.col("fn")).alias("kind"))
+    return n.select("p_partkey", G.classify_symbol(F.col("name"), F.col("fn") | (F.col("w") == "function"), F.col("jsx"), F.col("w")).alias("kind"))
 
 
 @query("frameworks", """
-SELECT DISTINCT p_brand, CASE WHEN p_type = 'PROMO' THEN 'web' WHEN p_type = 'STANDARD' THEN 'orm' END AS framework FROM part WHERE p_type IN ('PROMO', 'STANDARD') AND p_size > 10""")
+SELECT DISTINCT p_brand, CASE WHEN p_type = 'PROMO' THEN 'web' WHEN p_type = 'STANDARD' THEN 'orm' END AS framework FROM part WHERE p_type IN ('PROMO', 'STANDARD')""")
 def frameworks(spark, d):
-    return G.detect_frameworks(view(spark, d, "SELECT p_brand, p_type FROM part WHERE p_size > 10"), "p_brand", "p_type", {"web": "promo", "orm": "standard"})
+    return G.detect_frameworks(view(spark, d, "SELECT p_brand, p_type FROM part"), "p_brand", "p_type", {"web": "promo", "orm": "standard"})

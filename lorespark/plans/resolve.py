@@ -129,12 +129,13 @@ def entity_salience(spark, d):
     return spark.sql("SELECT name, CAST(salience AS DOUBLE) AS salience, row_number() OVER (ORDER BY salience DESC, n_nationkey) AS place FROM salient_")
 
 
-FIELDS = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'IDENTIFIER' WHEN 1 THEN 'BELONGS-TO' ELSE upper(p_type) END AS key, concat(CASE WHEN p_size % 5 = 0 THEN '★ ' ELSE '' END, CASE WHEN p_size % 7 = 0 THEN '⚠ ' ELSE '' END, p_name, CASE WHEN p_size % 3 = 0 THEN ' ±30d' ELSE '' END, CASE WHEN p_size % 11 = 0 THEN ' only-if(active)' ELSE '' END) AS value FROM part"
+FIELDS = "SELECT p_partkey, p_size, CASE WHEN p_size % 10 = 5 THEN '★GOLDEN-SOURCE' WHEN p_size % 5 = 0 THEN '★NOTE' WHEN p_size % 4 = 0 THEN 'IDENTIFIER' WHEN p_size % 4 = 1 THEN 'BELONGS-TO' ELSE upper(p_type) END AS key, CASE WHEN p_size % 13 = 0 THEN ' Enabled ' ELSE concat(CASE WHEN p_size % 7 = 0 THEN '⚠ ' ELSE '' END, p_name, ' and more', CASE WHEN p_size % 3 = 0 THEN ' ±30d' ELSE '' END, CASE WHEN p_size % 11 = 0 THEN ' only-if(active)' ELSE '' END) END AS value FROM part"
 
 
 @query("field_budget", """
-WITH f AS (SELECT p_partkey, p_size % 4 AS k4, round((CASE WHEN p_size % 5 = 0 THEN 2.0 ELSE 1 END) * (CASE WHEN p_size % 7 = 0 THEN 1.5 ELSE 1 END) * (CASE p_size % 4 WHEN 0 THEN 1.3 WHEN 1 THEN 1.2 ELSE 1 END) * (CASE WHEN p_size % 3 = 0 THEN 1.1 ELSE 1 END) * (CASE WHEN p_size % 11 = 0 THEN 1.3 ELSE 1 END), 6)::DOUBLE AS salience FROM part)
-SELECT p_partkey, salience, CASE WHEN k4 = 0 OR salience >= 2.0 THEN 'include' WHEN salience >= 1.0 THEN 'abbreviate' ELSE 'drop' END AS decision FROM f""")
+WITH f AS (SELECT p_partkey, p_size % 10 = 5 AS golden, p_size % 5 = 0 AS star, p_size % 4 AS k4, p_size % 13 = 0 AS flag, p_size AS s FROM part),
+g AS (SELECT *, round((CASE WHEN star THEN 2.0 ELSE 1 END) * (CASE WHEN s % 7 = 0 AND NOT flag THEN 1.5 ELSE 1 END) * (CASE WHEN star THEN 1 WHEN k4 = 0 THEN 1.3 WHEN k4 = 1 THEN 1.2 ELSE 1 END) * (CASE WHEN s % 3 = 0 AND NOT flag THEN 1.1 ELSE 1 END) * (CASE WHEN s % 11 = 0 AND NOT flag THEN 1.3 ELSE 1 END), 6)::DOUBLE AS salience FROM f)
+SELECT p_partkey, salience, CASE WHEN golden OR flag OR (k4 = 0 AND NOT star) OR salience >= 2.0 THEN 'include' WHEN salience >= 1.0 THEN 'abbreviate' ELSE 'drop' END AS decision FROM g""")
 def field_budget(spark, d):
     f = view(spark, d, FIELDS)
     s = f.withColumn("salience", F.round(R.field_salience(F.col("key"), F.col("value")), 6))

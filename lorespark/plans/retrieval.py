@@ -103,28 +103,37 @@ def name_lookup(spark, d):
     return R.lookup(asked, sections).select("l_orderkey", "l_linenumber", "name", "body")
 
 
-@query("keyword_match", f"""
-WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS keyword FROM part), t AS (SELECT p_partkey, unnest({TOK.format(t="p_name || ' ' || p_type")}) AS w FROM part),
-h AS (SELECT keyword, p_partkey, count(*) AS hits FROM t JOIN k ON w = lower(keyword) WHERE length(keyword) >= 3 GROUP BY 1, 2)
-SELECT keyword, p_partkey, hits, k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY keyword ORDER BY hits DESC, p_partkey) AS INTEGER) AS k FROM h) WHERE k <= 3""")
+@query("keyword_match", """
+WITH k AS (SELECT DISTINCT 'item ' || item_id AS kid, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[2:3] AS k FROM benchmark UNION SELECT 'one ' || item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:1] FROM benchmark),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t),
+h AS (SELECT kid, doc_id, count(*) AS hits FROM (SELECT *, ws[i] AS w FROM p) JOIN k ON w = k[1] WHERE ws[i : i + len(k) - 1] = k GROUP BY 1, 2)
+SELECT kid AS keyword, doc_id, hits, k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kid ORDER BY hits DESC, doc_id) AS INTEGER) AS k FROM h) WHERE k <= 3""")
 def keyword_match(spark, d):
-    part = table(spark, d, "part")
-    keys = part.select(F.explode(F.split("p_name", " ")).alias("keyword")).distinct().filter(F.length("keyword") >= 3).withColumn("kid", F.col("keyword"))
-    h = R.keyword_hits(keys, part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text")), "kid", "p_partkey")
-    return R.top_k(h, ["kid"], [F.col("hits").desc(), F.col("p_partkey")], 3).select(F.col("kid").alias("keyword"), "p_partkey", "hits", F.col("rank").alias("k"))
+    b = table(spark, d, "benchmark").withColumn("ws", F.regexp_extract_all("text", F.lit("([\\p{L}\\p{N}]+)"), 1))
+    keys = b.select(F.concat(F.lit("item "), "item_id").alias("kid"), F.array_join(F.slice("ws", 2, 2), "-").alias("keyword")).unionByName(b.select(F.concat(F.lit("one "), "item_id").alias("kid"), F.col("ws")[0].alias("keyword")))
+    h = R.keyword_hits(keys, table(spark, d, "documents"), "kid", "doc_id")
+    return R.top_k(h, ["kid"], [F.col("hits").desc(), F.col("doc_id")], 3).select(F.col("kid").alias("keyword"), "doc_id", "hits", F.col("rank").alias("k"))
 
 
 @query("cosine_topk", """
-WITH s AS (SELECT a.vec_id, b.vec_id AS other, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+WITH s AS (SELECT a.vec_id, b.vec_id AS other, round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT vec_id, other, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
 def cosine_topk(spark, d):
-    return R.cosine_top_k(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+    """Queries are the vectors whose id is divisible by 50, against all vectors."""
+    e = table(spark, d, "embeddings")
+    return R.cosine_top_k(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 
 
-@query("chunking", f"""
+@query("word_windows", f"""
 WITH w AS (SELECT doc_id, {WORDS.format(t="text")} AS w FROM documents), n AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil((len(w) - 50) / 450.0) AS INT)))) AS i FROM w WHERE len(w) > 0)
 SELECT doc_id, i AS chunk, array_to_string(w[i * 450 + 1 : i * 450 + 500], ' ') AS text FROM n""")
+def word_windows(spark, d):
+    return R.word_windows(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("chunking")
 def chunking(spark, d):
+    """No SQL: what a chunk repeats depends on the chunk before; tests compare it with a plain version."""
     return R.chunks(table(spark, d, "documents"), "doc_id", "text")
 
 

@@ -111,13 +111,15 @@ def models(symbols: DataFrame) -> DataFrame:
 
 
 def typescript_symbols(files: DataFrame) -> DataFrame:
-    """(path, name, kind) of exports: hook, component, function, const, type. Regular expressions in the JVM."""
+    """(path, name, kind) of top-level declarations. Regular expressions in the JVM; a body reaches to the next declaration."""
     f = files.filter(F.col("path").rlike("\\.tsx?$"))
-    pat = "(?m)^export\\s+(?:default\\s+)?(?:async\\s+)?(function|const|class|interface|type|enum)\\s+([A-Za-z_$][\\w$]*)"
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pat), 1).alias("w"), F.regexp_extract_all("text", F.lit(pat), 2).alias("name"), F.regexp_extract_all("text", F.lit(pat + "(\\s*=\\s*(?:async\\s*)?\\(|[^\\n]*)"), 3).alias("rest"))
-    e = f.select("path", F.explode(pairs).alias("e")).select("path", "e.*")
-    fn = (F.col("w") == "function") | ((F.col("w") == "const") & F.col("rest").rlike("=\\s*(async\\s*)?(\\(|[A-Za-z_$][\\w$]*\\s*=>)"))
-    return e.select("path", "name", classify_symbol(F.col("name"), fn).alias("kind"))
+    head = "(?:export\\s+)?(?:default\\s+)?(?:declare\\s+)?(?:abstract\\s+)?(?:async\\s+)?(?:function|const|class|interface|type|enum)\\b"
+    body = F.explode(F.split("text", f"(?m)(?=^{head})")).alias("body")
+    e = f.select("path", body)
+    e = e.select("path", "body", *[F.regexp_extract("body", f"^{head.replace('(?:function', '(function')}\\s*\\*?\\s*([A-Za-z_$][\\w$]*)", k).alias(c) for k, c in ((1, "w"), (2, "name"))]).filter("name <> ''")
+    fn = (F.col("w") == "function") | ((F.col("w") == "const") & F.col("body").rlike("^[^\\n=]*=\\s*(?:async\\s*)?(?:function\\b|\\([^=]*=>|[A-Za-z_$][\\w$]*\\s*=>|\\()"))
+    renders = F.col("body").rlike("(?:^|[\\s(?:&|>])<(?:[A-Za-z][\\w.]*[\\s/>]|>)") | ((F.col("w") == "const") & F.col("body").rlike("=\\s*(?:React\\.)?(?:forwardRef|memo)\\b"))
+    return e.select("path", "name", classify_symbol(F.col("name"), fn, renders, F.col("w")).alias("kind"))
 
 
 def typescript_imports(files: DataFrame) -> DataFrame:

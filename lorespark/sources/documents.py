@@ -19,7 +19,8 @@ SHAPE = "doc string, ord int, depth int, section string, node_type string, key s
 _COLS = [c.split()[0] for c in SHAPE.split(", ")]
 _SECTION = re.compile(r"^(\s*)(?:±|##)\s?([A-Z][A-Z0-9_-]*)((?: .*)?)$")
 _PAIR = re.compile(r"^([★⚠]?[A-Za-z_*][A-Za-z0-9_*-]*):(.*)$")
-REQUIRED, RECOMMENDED = ("DOMAIN",), ("SCOPE", "AUTHOR", "COMPRESSED", "SOURCE_TOKENS")
+REQUIRED = ("COMPRESSED", "DOMAIN", "SOURCE_TOKENS")
+RECOMMENDED = ("AUTHOR", "CTX_TOKENS", "GEN", "HASH", "PROVENANCE", "RATIO", "SCHEMA", "SCOPE", "SOURCE", "TURNS")
 
 
 def parse(doc: str, text: str) -> list[tuple]:
@@ -113,10 +114,8 @@ def _line(name: str, value: Column) -> Column:
 
 
 def header_rank(key: Column) -> Column:
-    rank = F.lit(99)
-    for i, k in reversed(list(enumerate(REQUIRED + RECOMMENDED))):
-        rank = F.when(key == k, i).otherwise(rank)
-    return rank
+    """Required fields, then recommended ones, then the rest; inside these, keys decide."""
+    return F.when(key.isin(*REQUIRED), 0).when(key.isin(*RECOMMENDED), 1).otherwise(2)
 
 
 def serialise(n: DataFrame, name: str = "DOC", canonical: bool = False, ascii_only: bool = False, plain_words: bool = False) -> DataFrame:
@@ -149,22 +148,22 @@ def from_facts(facts: DataFrame, doc: str, domain: str) -> DataFrame:
 
     from lorespark.operators import resolve as R
 
-    fields = facts.filter("kind = 'field'").withColumn("s_", R.field_salience(F.regexp_replace("key", "^★", ""), F.col("value")))
+    fields = facts.filter("kind = 'field'").withColumn("s_", R.field_salience(F.col("key"), F.col("value")))
     refs = R.reference_counts(fields, "value").withColumnRenamed("refs", "xrefs")
     warned = facts.filter("kind = 'warning' AND entity IS NOT NULL").groupBy("entity").agg(F.count("*").alias("warnings"))
     e = facts.filter("kind = 'entity'").groupBy("entity").agg(F.countDistinct("path").alias("sources"), F.max("value").alias("about"))
     golden = fields.filter("key = '★GOLDEN-SOURCE'").select("entity").distinct().withColumn("golden", F.lit(True))
     e = R.entity_salience(e.join(refs, "entity", "left").join(warned, "entity", "left").join(golden, "entity", "left").na.fill(0, ["xrefs", "warnings"]).na.fill(False, ["golden"]))
-    order = F.row_number().over(Window.orderBy(F.col("salience").desc(), "entity"))  # entities only: far fewer than facts
-    e = e.withColumn("place", order)
-    rows = [
-        e.select(F.struct(F.col("place").alias("a"), F.lit(-1e9).alias("b"), F.lit(0).alias("c"), F.lit("").alias("d")).alias("o"), F.lit(1).alias("depth"), F.concat(F.lit("ENTITY-"), "entity").alias("section"), F.lit("section").alias("node_type"), F.concat(F.lit("ENTITY-"), "entity").alias("key"), F.lit("").alias("value")),
-        fields.join(e.select("entity", "place"), "entity").select(F.struct(F.col("place").alias("a"), (-F.col("s_")).alias("b"), (F.col("ord") + 1).alias("c"), F.col("path").alias("d")).alias("o"), F.lit(2).alias("depth"), F.concat(F.lit("ENTITY-"), "entity").alias("section"), F.lit("pair").alias("node_type"), "key", "value"),
-    ]
-    body = rows[0].unionByName(rows[1])
+    sizes = fields.groupBy("entity").agg(F.count("*").alias("n"))
+    ranked = Window.orderBy(F.col("salience").desc(), "entity")  # entities only: a row each, however many facts they have
+    before = F.coalesce(F.sum(F.coalesce("n", F.lit(0)) + 1).over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    e = e.join(sizes, "entity", "left").withColumn("place", (before + 2).cast("int"))
+    name = F.concat(F.lit("ENTITY-"), "entity")
+    heads = e.select(F.col("place").alias("ord"), F.lit(1).alias("depth"), name.alias("section"), F.lit("section").alias("node_type"), name.alias("key"), F.lit("").alias("value"))
+    inside = F.row_number().over(Window.partitionBy("entity").orderBy(F.col("s_").desc(), "ord", "path"))
+    pairs = fields.join(e.select("entity", "place"), "entity").select((F.col("place") + inside).alias("ord"), F.lit(2).alias("depth"), name.alias("section"), F.lit("pair").alias("node_type"), "key", "value")
     head = facts.sparkSession.createDataFrame([(0, 0, "", "status", "v1.0", "L2"), (1, 0, "", "header", "DOMAIN", domain)], "ord int, depth int, section string, node_type string, key string, value string")
-    numbered = body.withColumn("ord", F.row_number().over(Window.orderBy("o")) + 1).select("ord", "depth", "section", "node_type", "key", "value")
-    return head.unionByName(numbered).select(F.lit(doc).alias("doc"), "ord", "depth", "section", "node_type", "key", "value")
+    return head.unionByName(heads).unionByName(pairs).select(F.lit(doc).alias("doc"), "ord", "depth", "section", "node_type", "key", "value")
 
 
 def manifest(n: DataFrame) -> DataFrame:

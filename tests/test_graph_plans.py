@@ -56,7 +56,7 @@ def test_topology_of_all_orders(spark, tables):
     want = set()
     for k, _ in suppliers:
         i, o = (sum(e[c] == k for e in brute_links(items)) for c in (1, 0))
-        want.add((k, i, o, "hub" if i >= 3 else "leaf" if not o else "bridge"))
+        want.add((k, i, o, "hub" if i >= 3 else "leaf" if not i else "bridge"))
     assert ran(spark, d, "topology") == want
 
 

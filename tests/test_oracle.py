@@ -20,8 +20,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, con, name):
     why = compare(spark, con, SF_DIR, catalog.queries()[name], catalog.oracle_sql().get(name))
-    assert not why or why == "no rows", why
+    assert not why or (why == "no rows" and name in MAY_BE_EMPTY), why
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"chunking"}

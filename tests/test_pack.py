@@ -35,6 +35,6 @@ def test_lookup_and_question(spark, packed):
 
 
 def test_envelope():
-    assert P.envelope("not_found", "no such section")["error"]["code"] == "not_found"
+    assert P.envelope("unknown_symbol", "no such section")["error"]["code"] == "unknown_symbol"
     with pytest.raises(ValueError):
         P.envelope("nope", "")

@@ -112,8 +112,8 @@ def test_other_formats(facts):
 def test_markdown(facts):
     md = sorted((f["line"], f["kind"], f["entity"], f["key"], f["value"]) for f in facts if f["fmt"] == "md")
     assert md == [
-        (1, "entity", "CUSTOMER", "description", ""), (6, "field", "CUSTOMER", "KNOWN-ISSUES", "email often missing"), (7, "warning", "CUSTOMER", "KNOWN-ISSUES", "do not trust phones"),
-        (8, "note", "CUSTOMER", "KNOWN-ISSUES", "ask support"), (9, "field", "CUSTOMER", "KNOWN-ISSUES", "Some prose"), (12, "rule", None, "GENERAL", "rule of house"),
+        (1, "entity", "CUSTOMER", "description", ""), (6, "field", "CUSTOMER", "KNOWN-ISSUES", "email really often missing"), (7, "warning", "CUSTOMER", "KNOWN-ISSUES", "do not trust phones"),
+        (8, "note", "CUSTOMER", "KNOWN-ISSUES", "ask support"), (9, "field", "CUSTOMER", "KNOWN-ISSUES", "Some prose"), (12, "rule", None, "GENERAL", "rule house"),
     ]
 
 
@@ -133,7 +133,7 @@ def test_document_round_trip(spark):
     again = documents.nodes(documents.serialise(n, "PACK"))
     assert [(r.node_type, r.section, r.key, r.value) for r in again.orderBy("ord").collect()] == [x for x in rows]
     out = documents.serialise(n, "PACK", canonical=True, ascii_only=True).first().text
-    assert out.index("DOMAIN:") < out.index("SCOPE:") < out.index("AUTHOR:") and "v->w" in out
+    assert out.index("DOMAIN:") < out.index("AUTHOR:") < out.index("SCOPE:") and "v->w" in out
     assert documents.parse("d", "no head")[0][4] == "error"
     assert "Identifier: id(UUID)." in documents.prose(n).first().text
     m = {r.section: r.n_keys for r in documents.manifest(n).collect()}
@@ -168,7 +168,7 @@ async def items(q: str = "x"):
     return helper.load(q)
 def items(): pass
 '''
-TSX = 'import React from "react"\nexport const useThing = () => 1\nexport function Card() {}\nexport const MAX_SIZE = 4\nexport type Props = {}\nexport default function run() {}\n'
+TSX = 'import React from "react"\nexport const useThing = () => 1\nexport function Card() { return <b>x</b> }\nexport const MAX_SIZE = 4\nexport type Props = {}\nexport default function run() {}\n'
 
 
 def test_code(spark):
