@@ -96,3 +96,48 @@ def glob_regex(pattern: str) -> str:
     import fnmatch
 
     return "^" + fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z") + "$"
+
+
+OPERATORS = (
+    ("CONFLICT:", "conflict"), ("WARN:", "warning"), ("$CTX", "magic"), ("===", "equivalence"), ("***", "emphasis"), ("##", "section"), ("->", "arrow"), (">>", "sequence"), ("~>", "weak_assoc"), ("§", "magic"), ("±", "section"),
+    ("¬", "negation"), ("→", "arrow"), ("≡", "equivalence"), ("⊥", "conflict"), ("⚠", "warning"), ("★", "emphasis"), ("!", "negation"), ("+", "conjunction"), ("?", "uncertainty"), ("@", "cross_ref"), ("|", "disjunction"), ("~", "approx"),
+)
+
+
+def operators(text: Column) -> Column:
+    """Kinds of the signs of a text in order; what stands between backticks, and all after an unpaired one, is skipped. Longer signs go first."""
+    import re
+
+    signs = "|".join(re.escape(s).replace("\\#", "#") for s, _ in OPERATORS)
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(`[^`]*`|`.*|{signs})"), 1)
+    kinds = F.create_map(*[F.lit(x) for s in OPERATORS for x in s])
+    return F.filter(F.transform(found, lambda s: F.element_at(kinds, s)), lambda k: k.isNotNull())
+
+
+SEMANTIC = "active|approved|archived|cascade|confidential|churn|deleted|encrypted?|gdpr|immutable|inactive|mandatory|nullable|pci[-_]?dss|pending|pii|required|restricted|retention|unique"
+
+
+def semantic_keywords(text: Column) -> Column:
+    """Sorted distinct terms of the domain in a text, lower-cased."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?i)\\b({SEMANTIC})\\b"), 1), F.lower)))
+
+
+def catalogue_size(text: Column) -> Column:
+    """How many things a catalogue lists: its headings, else its bracketed sections, else its numbered items."""
+    n = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), 0))
+    head, section, item = n("(?m)^#{1,6}\\s+\\S"), n("(?m)^\\[[\\w-]+\\]"), n("(?m)^\\d+\\.\\s+\\S")
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0).when(head > 0, head).when(section > 0, section).otherwise(item)
+
+
+def truncated(text: Column, cap: int) -> Column:
+    """The longest beginning of at most ``cap`` estimated tokens, with a marker of how much is left out."""
+    fits = F.lit(4 * cap + 3)
+    return F.when(estimated_tokens(text) <= cap, text).otherwise(F.concat(F.substring(text, F.lit(1), fits), F.lit("\n[truncated "), (F.length(text) - fits).cast("string"), F.lit(" characters to fit]")))
+
+
+def catalogue_row(name: Column, kind: Column, signature: Column, about: Column, cap: int) -> Column:
+    """``name | kind | signature | about``; a signature beyond the cap ends after the last boundary of its last 12 characters, if there is one."""
+    row = lambda s: F.concat_ws(" | ", name, kind, F.nullif(s, F.lit("")), F.nullif(about, F.lit("")))
+    room = F.greatest(F.lit(0), F.lit(4 * cap + 3) - F.length(row(F.lit("x"))) + 1 - 1)
+    head = F.rtrim(F.regexp_replace(F.substring(signature, F.lit(1), room), "(?s)([\\s,(\\[{|:;]).{0,11}$", "$1"))
+    return F.when(estimated_tokens(row(signature)) <= cap, row(signature)).otherwise(row(F.concat(head, F.lit("…"))))

@@ -93,7 +93,6 @@ def entity_salience(e: DataFrame) -> DataFrame:
 
 
 RELATIONS = ("BELONGS-TO", "HAS-MANY", "HAS-ONE", "DEPENDS-ON", "REFERENCES")
-PRESETS = {"conservative": 0.0, "balanced": 0.35, "aggressive": 0.6}
 
 
 def field_salience(key: Column, value: Column) -> Column:

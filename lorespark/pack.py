@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
 from lorespark.functions.cuts import cut
+from lorespark.operators import compress
 from lorespark.operators import resolve as R
 from lorespark.operators import retrieval
 from lorespark.sources import corpus, documents
@@ -28,6 +29,8 @@ class Pack:
     """Tables of a packed corpus: facts and nodes are written once, to the folder that executors share; the rest is lazy."""
 
     facts: DataFrame
+    source_words: int
+    domain: str
     relationships: DataFrame
     conflicts: DataFrame
     nodes: DataFrame
@@ -35,6 +38,16 @@ class Pack:
     def text(self, **how) -> DataFrame:
         return documents.serialise(self.nodes, **how)
 
+    def compressed(self, preset: str = "", **how) -> DataFrame:
+        """Nodes under a preset, or under ``max_ratio``, ``floor`` and ``keep``: see :func:`lorespark.operators.compress.compress`."""
+        return compress.compress(self.facts, self.domain, self.source_words, preset, **how)
+
+    def overview(self) -> DataFrame:
+        return documents.overview(self.nodes)
+
+    def json(self) -> DataFrame:
+        return documents.to_json(self.nodes)
+
     def manifest(self) -> DataFrame:
         return documents.manifest(self.nodes)
 
@@ -77,7 +90,8 @@ def pack(spark: SparkSession, folder: str, config: dict | None = None) -> Pack:
     if c.get("strict"):
         whole = whole.filter("certainty <> 'inferred'")
     domain = c.get("domain") or "corpus"
-    return Pack(whole, all_rels, conflicts(facts), cut(documents.from_facts(whole, domain, domain), "nodes"))
+    words = corpus.texts(files).agg(F.coalesce(F.sum(T.word_count(F.col("text"))), F.lit(0)).alias("n")).first()["n"]
+    return Pack(whole, words, domain, all_rels, conflicts(facts), cut(documents.from_facts(whole, domain, domain), "nodes"))
 
 
 def by_name(nodes: DataFrame, names: list[str], layers: list[str] | None = None, min_confidence: float = 0.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "telemetry", "resolve", "graph", "changes", "guard", "evaluate", "relational", "document")
+MODULES = ("retrieval", "telemetry", "resolve", "graph", "changes", "guard", "evaluate", "relational", "document", "packing")
 
 
 def register() -> None:

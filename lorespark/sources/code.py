@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 from lorespark.operators.guard import classify_symbol
 
-SYMBOLS = "path string, qname string, kind string, line int, signature string, doc string, decorators array<string>, bases array<string>"
+SYMBOLS = "path string, qname string, kind string, line int, signature string, doc string, decorators array<string>, bases array<string>, end int"
 CALLS = "path string, caller string, callee string, line int"
 SKIPPED = ("*/.git/*", "*/node_modules/*", "*/__pycache__/*", "*/dist/*", "*/build/*", "*/.venv/*", "*.min.js", "*.d.ts")
 GENERATED = "(?i)(@generated|do not edit|auto-?generated)"
@@ -37,7 +37,7 @@ class _Walk(ast.NodeVisitor):
 
     def _def(self, node, kind: str, signature: str):
         q = self.name(node.name)
-        self.symbols.append((self.path, q, kind, node.lineno, signature, ast.get_docstring(node) or "", [ast.unparse(d) for d in node.decorator_list], [ast.unparse(b) for b in getattr(node, "bases", [])]))
+        self.symbols.append((self.path, q, kind, node.lineno, signature, ast.get_docstring(node) or "", [ast.unparse(d) for d in node.decorator_list], [ast.unparse(b) for b in getattr(node, "bases", [])], node.end_lineno))
         self.scope.append(node.name)
         for child in node.body:
             self.visit(child)
@@ -55,14 +55,14 @@ class _Walk(ast.NodeVisitor):
 
     def visit_Assign(self, node):
         if not self.scope:
-            self.symbols += [(self.path, self.name(t.id), "const", node.lineno, ast.unparse(node)[:120], "", [], []) for t in node.targets if isinstance(t, ast.Name) and t.id.isupper()]
+            self.symbols += [(self.path, self.name(t.id), "const", node.lineno, ast.unparse(node)[:120], "", [], [], node.end_lineno) for t in node.targets if isinstance(t, ast.Name) and t.id.isupper()]
         self.generic_visit(node)
 
     def visit_Import(self, node):
-        self.symbols += [(self.path, a.name, "import", node.lineno, ast.unparse(node), "", [], []) for a in node.names]
+        self.symbols += [(self.path, a.name, "import", node.lineno, ast.unparse(node), "", [], [], node.end_lineno) for a in node.names]
 
     def visit_ImportFrom(self, node):
-        self.symbols.append((self.path, "." * node.level + (node.module or ""), "import", node.lineno, ast.unparse(node), "", [], []))
+        self.symbols.append((self.path, "." * node.level + (node.module or ""), "import", node.lineno, ast.unparse(node), "", [], [], node.end_lineno))
 
     def visit_Call(self, node):
         if isinstance(node.func, (ast.Name, ast.Attribute)):
@@ -75,7 +75,7 @@ def _walk(path: str, text: str) -> _Walk:
     try:
         w.visit(ast.parse(text or ""))
     except (SyntaxError, ValueError, RecursionError) as e:
-        w.symbols.append((path, "<file>", "warning", getattr(e, "lineno", None) or 0, type(e).__name__, "", [], []))
+        w.symbols.append((path, "<file>", "warning", getattr(e, "lineno", None) or 0, type(e).__name__, "", [], [], 0))
     return w
 
 

@@ -183,3 +183,117 @@ def prose(n: DataFrame) -> DataFrame:
     line = F.when(F.col("node_type") == "section", F.concat(F.repeat(F.lit("#"), F.col("depth")), F.lit(" "), label)).when(F.col("node_type") == "pair", F.concat(label, F.lit(": "), v, F.lit("."))).when(F.col("node_type").isin("line", "numbered", "list"), v)
     g = n.withColumn("line", line).filter("line IS NOT NULL").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("s"))
     return g.select("doc", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("text"))
+
+
+def indexes(n: DataFrame, kinds: int = 15) -> DataFrame:
+    """(doc, index, key, value): the manifest's section index (words and up to eight keys), entity index and keyword index of top-level sections.
+
+    Keywords are the keys, the entities referred to and the terms of the domain, lower-cased; the first ``kinds`` in order of the alphabet.
+    """
+    p = n.filter("section <> ''").withColumn("top", F.substring_index("section", "/", 1))
+    value = F.coalesce("value", F.lit(""))
+    pair, words = F.col("node_type") == "pair", T.word_count(F.concat_ws(" ", F.when(F.col("node_type") == "pair", F.col("key")), value))
+    refs = F.transform(F.regexp_extract_all(value, F.lit("@(?:ENTITY-)?([A-Za-z0-9_][A-Za-z0-9_-]*)"), 1), F.lower)
+    own = F.regexp_extract("top", "^ENTITY-(.+)$", 1)
+    terms = F.concat(F.when(pair, F.array(F.lower("key"))).otherwise(F.array().cast("array<string>")), refs, T.semantic_keywords(value), F.when(own != "", F.array(F.lower(own))).otherwise(F.array().cast("array<string>")))
+    g = p.groupBy("doc", "top").agg(
+        F.sum(F.when(F.col("node_type") == "section", 0).otherwise(words)).alias("w"), F.array_sort(F.collect_list(F.when(pair, F.struct("ord", "key")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(terms)))).alias("t"),
+    )
+    tok, keys = F.concat(F.lit("~"), (F.col("w") + 1).cast("string"), F.lit("tok")), F.transform("s", lambda x: x["key"])
+    more = F.when(F.size("s") > 8, F.concat(F.lit(",+"), (F.size("s") - 8).cast("string"))).otherwise("")
+    rows = F.array(
+        F.struct(F.lit("SECTION-INDEX").alias("index"), F.col("top").alias("key"), F.concat(tok, F.lit(" keys:["), F.array_join(F.slice(keys, 1, 8), ","), more, F.lit("]")).alias("value")),
+        F.when(F.col("top").startswith("ENTITY-"), F.struct(F.lit("ENTITY-INDEX").alias("index"), F.substring_index("top", "ENTITY-", -1).alias("key"), F.concat(F.lit("±"), "top", F.lit(" "), tok).alias("value"))),
+        F.when(F.size("t") > 0, F.struct(F.lit("KEYWORD-INDEX").alias("index"), F.col("top").alias("key"), F.array_join(F.slice("t", 1, kinds), ",").alias("value"))),
+    )
+    return g.select("doc", F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+
+def overview(n: DataFrame, hub: int = 3, budget: int = 500) -> DataFrame:
+    """(doc, part, ord, text): entities with role, identifier and owners; topology; patterns; constraints by weight; warnings.
+
+    Beyond ``budget`` words the last lines of constraints go first, then those of patterns.
+    """
+    from pyspark.sql import Window
+
+    p = n.filter("node_type = 'pair' AND section LIKE 'ENTITY-%'").withColumn("e", F.regexp_extract("section", "^ENTITY-([^/]+)", 1))
+    e = n.filter("node_type = 'section' AND section LIKE 'ENTITY-%' AND section NOT LIKE '%/%'").select("doc", F.regexp_extract("section", "^ENTITY-(.+)$", 1).alias("e"), F.col("ord").alias("at"))
+    edges = p.select("doc", "e", F.explode(F.regexp_extract_all("value", F.lit("@ENTITY-([A-Za-z0-9_][A-Za-z0-9_-]*)"), 1)).alias("to")).filter("e <> to")
+    inbound = edges.groupBy("doc", F.col("to").alias("e")).agg(F.count("*").alias("n"))
+    e = e.join(inbound, ["doc", "e"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    e = e.withColumn("role", F.when(F.col("n") >= hub, "hub").when(F.col("n") == 0, "leaf").otherwise("bridge"))
+    said = p.groupBy("doc", "e").agg(F.min_by(F.when(F.col("key") == "IDENTIFIER", F.col("value")), F.when(F.col("key") == "IDENTIFIER", F.col("ord"))).alias("id"), F.array_sort(F.collect_list(F.when(F.col("key").startswith("BELONGS-TO"), F.struct("ord", "value")))).alias("own"))
+    line = F.concat_ws(" | ", F.concat("e", F.lit("("), "role", F.lit(")")), F.concat(F.lit("id:"), "id"), F.array_join(F.transform("own", lambda x: F.concat(F.lit("→"), x["value"])), " | "))
+    entities = e.join(said, ["doc", "e"], "left").select("doc", F.lit("ENTITIES").alias("part"), F.col("at").alias("ord"), F.regexp_replace(line, " \\| $", "").alias("text"))
+    groups = e.groupBy("doc").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("at", "e")))), lambda x: x["e"]), "+").alias(r) for r in ("hub", "leaf", "bridge")], F.count("*").alias("k"), F.sum("n").alias("edges"))
+    lines = F.array(*[F.when(F.col(r) != "", F.concat(F.lit(f"{label}:"), F.col(r))) for r, label in (("hub", "HUBS"), ("leaf", "LEAVES"), ("bridge", "BRIDGES"))], F.concat(F.lit("GRAPH:"), F.col("k").cast("string"), F.lit("-entities,"), F.col("edges").cast("string"), F.lit("-edges")))
+    topology = groups.select("doc", F.lit("TOPOLOGY").alias("part"), F.posexplode(F.array_compact(lines)).alias("ord", "text"))
+    v, key = F.col("value"), F.col("key")
+    tag = lambda mark, x: F.concat("e", F.lit(f":{mark}→"), x)
+    rules = F.when(v.startswith("["), F.size(F.split(v, ","))).otherwise(1)
+    units = F.create_map(*[F.lit(x) for x in ("d", "days", "w", "weeks", "m", "months")])
+    window, guard = F.regexp_extract(v, "±([0-9]+)([dwm])\\b", 1), F.regexp_extract(v, "\\b(?:only-if|when|if)\\([^)]+\\)", 0)
+    found = F.array(
+        F.when(key == "STATUS-MACHINE", F.struct(F.lit(0).alias("w"), tag("STATUS", v).alias("t"))), F.when(key == "MATCH-RULES", F.struct(F.lit(0).alias("w"), F.concat("e", F.lit(":MATCH("), rules.cast("string"), F.lit("-rules)")).alias("t"))),
+        F.when(key == "RETENTION", F.struct(F.lit(0).alias("w"), tag("RETENTION", v).alias("t"))),
+        F.when(window != "", F.struct(F.lit(2).alias("w"), F.concat(F.lit("WINDOW:"), "e", F.lit(":"), key, F.lit("→±"), window, F.element_at(units, F.regexp_extract(v, "±([0-9]+)([dwm])\\b", 2))).alias("t"))),
+        F.when(guard != "", F.struct(F.lit(3).alias("w"), F.concat(F.lit("GUARD:"), "e", F.lit(":"), key, F.lit("→"), guard).alias("t"))),
+    )
+    shown = p.select("doc", "ord", F.explode(F.array_compact(found)).alias("f")).select("doc", "ord", "f.w", "f.t")
+    kinds = p.filter("key = 'IDENTIFIER'").withColumn("k", F.trim(F.regexp_extract("value", "\\(([^,)]+)", 1))).filter("k <> ''").groupBy("doc", "k").agg(F.count("*").alias("n"), F.min("ord").alias("at"))
+    common = kinds.groupBy("doc").agg(F.max_by(F.struct("k", "n"), F.struct("n", (-F.col("at")).alias("a"))).alias("b")).join(groups.select("doc", F.col("k").alias("all")), "doc")
+    shown = shown.unionByName(common.select("doc", F.lit(0).alias("ord"), F.lit(1).alias("w"), F.concat(F.lit("ID-PATTERN:"), F.col("b.n").cast("string"), F.lit("/"), F.col("all").cast("string"), F.lit("→"), "b.k").alias("t")))
+    weight = F.when(key.isin("PII", "PII-CLASSIFICATION"), 0).when(key == "IMMUTABLE-AFTER", 1).when(key.startswith("★"), 2).when(v.contains("⚠"), 3)
+    bound = p.withColumn("w", weight).filter("w IS NOT NULL").select("doc", "ord", "w", F.concat("e", F.lit(":"), key, F.lit("→"), F.when(weight == 3, F.concat(F.lit("⚠"), v)).otherwise(v)).alias("t"))
+    warned = n.filter("node_type = 'line' AND value LIKE '%⚠%'").select("doc", "ord", F.lit(0).alias("w"), F.col("value").alias("t"))
+    rest = [d.select("doc", F.lit(name).alias("part"), F.row_number().over(Window.partitionBy("doc").orderBy("w", "ord", "t")).alias("ord"), F.col("t").alias("text")) for d, name in ((shown, "PATTERNS"), (bound, "CONSTRAINTS"), (warned, "WARNINGS"))]
+    whole = entities.unionByName(topology)
+    for d in rest:
+        whole = whole.unionByName(d)
+    order = F.when(F.col("part") == "CONSTRAINTS", 2).when(F.col("part") == "PATTERNS", 1).otherwise(0)
+    used = F.sum(T.word_count(F.col("text"))).over(Window.partitionBy("doc").orderBy(order, "part", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    return whole.withColumn("used_", used).filter((order == 0) | (F.col("used_") <= budget)).drop("used_")
+
+
+def to_json(n: DataFrame) -> DataFrame:
+    """(doc, json): header, and the body with sections nested as far as they go."""
+    import json
+    from collections.abc import Iterator
+
+    def tree(rows: list[tuple]) -> str:
+        head, fields = {"magic": "§", "version": "1.0", "layer": "L2", "fields": {}}, {}
+        body: list[dict] = []
+        at: list[tuple[int, list]] = [(0, body)]
+        for _, depth, section, kind, key, value in sorted(rows, key=lambda r: r[0]):
+            if kind == "status":
+                head["version"], head["layer"] = (key or "").lstrip("v"), value
+            elif kind == "header":
+                fields[key] = value
+            elif kind == "section":
+                while len(at) > 1 and at[-1][0] >= depth:
+                    at.pop()
+                at[-1][1].append(x := {"type": "section", "name": section.rsplit("/", 1)[-1], "subtitles": (value or "").split(), "depth": depth, "children": []})
+                at.append((depth, x["children"]))
+            elif kind != "error":
+                shape = {"pair": ("kv", "key", "value"), "numbered": ("numbered", "number", "text"), "quoted": ("quoted", "lang", "content"), "provenance": ("provenance", "path", "source")}.get(kind)
+                at[-1][1].append({"type": shape[0], shape[1]: key, shape[2]: value} if shape else {"type": "plain", "text": value})
+        return json.dumps({"header": head | {"fields": fields}, "body": body}, ensure_ascii=False, indent=2)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc": b["doc"], "json": [tree([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in rows]) for rows in b["rows"]]})
+
+    g = n.groupBy("doc").agg(F.collect_list(F.struct("ord", "depth", "section", "node_type", "key", "value")).alias("rows"))
+    return g.mapInPandas(run, "doc string, json string")
+
+
+def system_prompt(n: DataFrame, instructions: bool = True) -> DataFrame:
+    """(doc, text): a directory of entities with their identifiers, for a model that fetches sections itself."""
+    top = n.filter("section <> '' AND section NOT LIKE '%/%'")
+    ids = F.min_by(F.when((F.col("node_type") == "pair") & (F.col("key") == "IDENTIFIER"), F.col("value")), F.when(F.col("key") == "IDENTIFIER", F.col("ord")))
+    s = top.groupBy("doc", "section").agg(F.min("ord").alias("ord"), ids.alias("id"))
+    is_entity = F.col("section").startswith("ENTITY-")
+    line = F.when(is_entity, F.concat(F.lit("- "), "section", F.coalesce(F.concat(F.lit(" (id: "), "id", F.lit(")")), F.lit("")))).otherwise(F.concat(F.lit("- "), "section"))
+    g = s.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((~is_entity).alias("rest"), "ord", line.alias("line")))).alias("s"))
+    intro = F.lit("A knowledge base is at hand; ask for a section by its name to read it." if instructions else "")
+    return g.select("doc", F.concat_ws("\n", F.nullif(intro, F.lit("")), F.array_join(F.transform("s", lambda x: x["line"]), "\n")).alias("text"))

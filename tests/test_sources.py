@@ -113,7 +113,7 @@ def test_markdown(facts):
     md = sorted((f["line"], f["kind"], f["entity"], f["key"], f["value"]) for f in facts if f["fmt"] == "md")
     assert md == [
         (1, "entity", "CUSTOMER", "description", ""), (6, "field", "CUSTOMER", "KNOWN-ISSUES", "email really often missing"), (7, "warning", "CUSTOMER", "KNOWN-ISSUES", "do not trust phones"),
-        (8, "note", "CUSTOMER", "KNOWN-ISSUES", "ask support"), (9, "field", "CUSTOMER", "KNOWN-ISSUES", "Some prose"), (12, "rule", None, "GENERAL", "rule house"),
+        (8, "note", "CUSTOMER", "KNOWN-ISSUES", "ask support"), (9, "field", "CUSTOMER", "KNOWN-ISSUES", "prose here."), (12, "rule", None, "GENERAL", "rule house"),
     ]
 
 
