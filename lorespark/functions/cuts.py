@@ -27,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores (a file of one row group, say) is dealt out over them; a larger one stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
