@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.functions.cuts import delete, shared_folder, track
+from lorespark.functions.cuts import delete, shared_folder, spread, track
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 18  # what numpy works on at a time: it stays in the cache of a core
@@ -91,7 +91,8 @@ def partitions_for(spark: SparkSession, nbytes: int) -> int:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in ("documents", "pages") else df
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
