@@ -21,8 +21,8 @@ MOST_TERMS = 1_000_000
 
 
 def exploded(df: DataFrame, id_col: str, text_col: str, tokens=T.query_tokens) -> DataFrame:
-    """(id, term), terms with repetition."""
-    return df.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("term"))
+    """(id, term), terms with repetition. From a plain ``explode`` Spark infers that the array is not empty, and tokenises once more to filter by that."""
+    return df.select(F.col(id_col), F.explode_outer(tokens(F.col(text_col))).alias("term")).filter("term IS NOT NULL")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -43,7 +43,7 @@ def overlap(queries: DataFrame, sections: DataFrame, qid: str, sid: str) -> Data
     """
     q = queries.select(qid, F.array_distinct(T.query_tokens(F.col("text"))).alias("q")).filter(F.size("q") > 0)
     q = _terms(q.select(qid, F.size("q").alias("n"), F.explode("q").alias("term")))
-    s = sections.select(sid, F.explode(F.array_distinct(T.query_tokens(F.col("text")))).alias("term"))
+    s = exploded(sections, sid, "text", lambda t: F.array_distinct(T.query_tokens(t)))
     return s.join(q, "term").groupBy(qid, sid, "n").agg(F.count("*").alias("hits")).select(qid, sid, (F.col("hits") / F.col("n")).alias("score"))
 
 
@@ -55,17 +55,18 @@ def bm25(queries: DataFrame, docs: DataFrame, qid: str, did: str, tokens=T.query
     """
     q = cut(exploded(queries, qid, "text", tokens).groupBy(qid, "term").agg(F.count("*").alias("times")), "questions")
     asked = _terms(q.select("term").distinct()).withColumn("asked", F.lit(True))
-    d = exploded(docs, did, "text", tokens).join(asked, "term", "left").select(did, F.when(F.col("asked"), F.col("term")).alias("term"))
-    tf = cut(d.groupBy(did, "term").agg(F.count("*").alias("f")), "counts")
-    size = tf.groupBy(did).agg(F.sum("f").alias("len"))
+    sized = F.transform(F.array(tokens(F.col("text"))), lambda w: F.transform(w, lambda t: F.struct(F.size(w).alias("len"), t.alias("term"))))[0]  # tokens are made once
+    w = docs.select(did, F.inline_outer(sized)).filter("term IS NOT NULL")
+    d = w.join(asked, "term", "left").select(did, "len", F.when(F.col("asked"), F.col("term")).alias("term"))
+    tf = cut(d.groupBy(did, "len", "term").agg(F.count("*").alias("f")), "counts")
     total = docs.agg(F.count("*").alias("n_docs")).crossJoin(tf.agg(F.sum("f").alias("all_len")))  # one row each
-    hit = tf.filter("term IS NOT NULL")
-    df_ = hit.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hit.join(df_, "term").join(size, did).crossJoin(F.broadcast(total)).join(q, "term")
-    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    hit = tf.filter("term IS NOT NULL").crossJoin(F.broadcast(total))
     norm = F.lit(1 - B) + F.lit(B) * F.col("len") / (F.col("all_len") / F.col("n_docs"))
-    part = F.col("times") * idf * F.col("f") * (K1 + 1) / (F.col("f") + F.lit(K1) * norm)
-    return joined.groupBy(qid, did).agg(F.sum(part).alias("score"))
+    hit = hit.select(did, "term", (F.col("f") * (K1 + 1) / (F.col("f") + F.lit(K1) * norm)).alias("part"))
+    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    df_ = tf.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    weights = _terms(q.join(df_, "term").crossJoin(F.broadcast(total)).select(qid, "term", (F.col("times") * idf).alias("weight")))
+    return hit.join(weights, "term").groupBy(qid, did).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
 def rank_normalised(df: DataFrame, by: list[str], score: str, out: str) -> DataFrame:
@@ -96,7 +97,7 @@ def keyword_hits(keywords: DataFrame, texts: DataFrame, kid: str, tid: str) -> D
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}]+)"), 1)
     k = keywords.select(kid, words(F.col("keyword")).alias("k")).filter(F.size("k") > 0).select(kid, "k", F.col("k")[0].alias("w"))
     longest = k.agg(F.max(F.size("k"))).first()[0] or 1
-    t = texts.select(tid, words(F.col("text")).alias("ws")).select(tid, F.posexplode("ws").alias("at", "w"), "ws") if longest > 1 else texts.select(tid, F.explode(words(F.col("text"))).alias("w"))
+    t = texts.select(tid, words(F.col("text")).alias("ws")).select(tid, F.posexplode_outer("ws").alias("at", "w"), "ws").filter("w IS NOT NULL") if longest > 1 else exploded(texts, tid, "text", words).withColumnRenamed("term", "w")
     if longest > 1:
         t = t.select(tid, "w", F.slice("ws", F.col("at") + 1, longest).alias("here"))
     hit = t.join(_terms(k), "w")
