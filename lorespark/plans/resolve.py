@@ -178,7 +178,7 @@ def filler_words(spark, d):
 
 
 @query("dehyphenate", """
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'well known' ELSE 'x 10-20' END || ' ' || c_mktsegment || '-A @E-' || c_custkey AS value FROM customer""")
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'well known' ELSE 'x 10-20' END || ' ' || c_mktsegment || '-AB x A @E-' || c_custkey AS value FROM customer""")
 def dehyphenate(spark, d):
-    v = view(spark, d, "SELECT c_custkey, concat(CASE WHEN c_custkey % 2 = 0 THEN 'well-known' ELSE 'x 10-20' END, ' ', upper(c_mktsegment), '-A @E-', c_custkey) AS v, c_mktsegment FROM customer")
+    v = view(spark, d, "SELECT c_custkey, concat(CASE WHEN c_custkey % 2 = 0 THEN 'well-known' ELSE 'x 10-20' END, ' ', upper(c_mktsegment), '-AB x-A @E-', c_custkey) AS v, c_mktsegment FROM customer")
     return v.select("c_custkey", F.replace(T.dehyphenated(F.col("v")), F.upper("c_mktsegment"), F.col("c_mktsegment")).alias("value"))

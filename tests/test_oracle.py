@@ -9,7 +9,7 @@ from tests.oracle import compare, connect
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 #: Empty on tables this small, compared all the same.
-MAY_BE_EMPTY = {"gaps", "cooccurrence", "pattern_entities", "reformulated_search", "inverse_relationships"}
+MAY_BE_EMPTY = {"gaps", "cooccurrence", "pattern_entities", "reformulated_search", "inverse_relationships", "null_policy_conflicts"}
 
 
 @pytest.fixture(scope="module")
