@@ -7,7 +7,9 @@ with a common extension of ``length`` words are equal; equal neighbours are veri
 The suffixes of a corpus are partitioned by content. Of the k-grams in any window of ``length`` words, the least hash (the
 rightmost of equals) is its anchor, so equal windows have equal anchors at equal offsets. First only anchors are
 exchanged, about one word in twenty; windows whose anchor occurs once cannot repeat and are dropped. The other suffixes
-go, with the words they need, to the partition of their anchor and are sorted there.
+go, with the words they need, to the partition of their anchor and are sorted there. Windows in a row with one anchor are
+a run; of equal runs only the earliest is sorted, the others are known to occur earlier. An anchor that many documents
+hold does not stay in one place: each of its windows goes to the place of its own hash, where equal windows still meet.
 
 Result: per document, merged spans of words covered by repeated windows; ``removable_words`` counts those in windows that
 occur earlier (by id, then place) and can go while the corpus keeps one copy. Equal texts are one class: its least id is
@@ -34,7 +36,9 @@ from lorespark.llm.ngram_join import _small, named_texts, text_classes
 
 LENGTH = 50
 GRAM = 10
-MOST_BROADCAST = 4_000_000  # repeated anchors of which every executor gets a copy; more are joined by document
+MOST_BROADCAST = 4_000_000  # repeated anchors of which every executor gets 32 bits each; more are joined by document
+HOT = 4_096  # documents that hold an anchor whose windows still go to one place
+SLICE_BYTES = 4 << 20  # words of runs whose suffixes are sorted at a time; those of one anchor stay together
 BUCKET_BYTES = 1 << 20  # text for which there is one partition of suffixes
 _LOW = U64((1 << 28) - 1)
 
@@ -152,15 +156,33 @@ def _verified(text: Callable[[int, int], bytes], run: np.ndarray, suffix: np.nda
     return equal
 
 
-def repeated_windows(table: pa.Table, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start word, whether it occurs earlier) of all windows in a partition's runs that occur twice or more."""
-    anchor, doc, start, count, off = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) if table.num_rows else np.zeros(0, k) for c, k in (("anchor", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4"), ("off", "<i4")))
-    joined = pa.array([b"".join(x.as_py() for x in table.column("words"))], pa.binary())  # runs end with line feeds, words with one space or that
-    h, first, begin, stop = np.zeros(0, U64), np.zeros(0, np.int64), [], []
-    for w in word_chunks(joined):
-        h, begin, stop = w.hash, w.start, w.end
-        first = np.searchsorted(w.start, np.concatenate([[0], np.flatnonzero(w.data == 10)[:-1] + 1])) if len(w.data) else first
-    raw = joined[0].as_py()
+def equal_runs(words: list[bytes], doc: np.ndarray, start: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the earliest of every set of runs with equal words, whether it has equals or was known to, the others).
+
+    A run that comes twice from one place, by rows repeated with the same id, is not its own equal.
+    """
+    code: dict[bytes, int] = {}
+    of = np.array([code.setdefault(x, len(code)) for x in words], np.int64)
+    o = np.lexsort((start, doc, of))
+    new = np.ones(len(o), bool)
+    new[1:] = of[o[1:]] != of[o[:-1]]
+    elsewhere = np.zeros(len(o), bool)
+    elsewhere[1:] = ~new[1:] & ((doc[o[1:]] != doc[o[:-1]]) | (start[o[1:]] != start[o[:-1]]))
+    some = np.zeros(len(code), bool)
+    np.logical_or.at(some, of[o], elsewhere | again[o])
+    first = o[new]
+    return first, some[of[first]], o[elsewhere]
+
+
+def repeated_windows(words: list[bytes], anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, off: np.ndarray, again: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start word, whether it occurs earlier) of all windows in some runs that occur twice or more; ``again``: the run has equals that are not among these."""
+    h, begin, stop, at_byte = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for w in word_chunks(pa.array(words, pa.large_binary())):
+        h.append(w.hash), begin.append(w.start + at_byte), stop.append(w.end + at_byte)
+        at_byte += len(w.data)
+    raw, h, begin, stop = b"".join(words), np.concatenate(h), np.concatenate(begin), np.concatenate(stop)
+    size = count.astype(np.int64) + length - 1
+    first = np.cumsum(size) - size
     run = np.repeat(np.arange(len(anchor)), count)
     at = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
     suffix, offset = first[run] + at, off[run] - at  # offset: from the window's start to its anchor
@@ -176,29 +198,29 @@ def repeated_windows(table: pa.Table, length: int = LENGTH) -> tuple[np.ndarray,
     if equal.any():
         equal = _verified(lambda x, y: raw[begin[x] : stop[y - 1]], run, suffix, order, equal, length)
     cls = np.cumsum(~equal)
-    many = np.bincount(cls, minlength=len(cls) + 1)[cls] > 1 if len(cls) else np.zeros(0, bool)
+    many = np.bincount(cls, 1 + again[run[order]], minlength=len(cls) + 1)[cls] > 1 if len(cls) else np.zeros(0, bool)
     # merging keeps the order of equal suffixes, which came by document and place: the first of a class is the earliest
     return doc[run[order]][many], (start[run] + at)[order][many], equal[many]
 
 
+def _union(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that spans of documents cover, as spans that do not touch."""
+    o = np.lexsort((s, d))
+    d, s, e = d[o], s[o], e[o]
+    if not len(d):
+        return d, s, e
+    rank = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) * (int(e.max()) + 2)
+    top = np.maximum.accumulate(e + rank)
+    new = np.concatenate([[True], (s + rank)[1:] > top[:-1]])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(d)) - 1
+    return d[head], s[head], top[tail] - rank[tail]
+
+
 def merge_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, removable: np.ndarray) -> tuple[np.ndarray, ...]:
     """Covered words of each document as spans: (document, first word, words, words in removable windows)."""
-
-    def union(sel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        d, s, e = doc[sel], start[sel], stop[sel]
-        o = np.lexsort((s, d))
-        d, s, e = d[o], s[o], e[o]
-        if not len(d):
-            return d, s, e
-        rank = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) * (int(e.max()) + 2)
-        top = np.maximum.accumulate(e + rank)
-        new = np.concatenate([[True], (s + rank)[1:] > top[:-1]])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(d)) - 1
-        return d[head], s[head], top[tail] - rank[tail]
-
-    d, s, e = union(np.ones(len(doc), bool))
-    rd, rs, re_ = union(removable)
+    d, s, e = _union(doc, start, stop)
+    rd, rs, re_ = _union(doc[removable], start[removable], stop[removable])
     order = np.lexsort((s, d))
     gone = np.zeros(len(d), np.int64)
     if len(rd):
@@ -210,6 +232,11 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, removable:
     return d, s, e - s, gone
 
 
+def _among(x: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """Which of x are in ``rising``."""
+    return rising[np.minimum(np.searchsorted(rising, x), len(rising) - 1)] == x if len(rising) else np.zeros(len(x), bool)
+
+
 def _pack_by(bucket: np.ndarray, **cols: np.ndarray) -> tuple[np.ndarray, dict[str, list[bytes]], np.ndarray, np.ndarray]:
     """(buckets that occur, the columns' bytes by bucket, order, edges of the buckets in that order)."""
     o = np.argsort(bucket, kind="stable")
@@ -244,8 +271,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
                 _, at, gram = anchors(w, length, k)
                 one = np.unique(at, return_index=True)[1]
                 doc = np.searchsorted(w.first, at[one], "right") - 1
-                held.append((gram[one], ids[w.doc_from + doc]))
-                n += len(one)
+                o = np.lexsort((doc, gram[one]))
+                one, doc = one[o], doc[o]
+                two = np.ones(len(o), bool)  # two of a document say all
+                two[2:] = (gram[one[2:]] != gram[one[:-2]]) | (doc[2:] != doc[:-2])
+                held.append((gram[one[two]], ids[w.doc_from + doc[two]]))
+                n += len(held[-1][0])
             if n > 500_000:
                 yield flush()
                 held, n = [], 0
@@ -264,10 +295,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
         return pa.table({"g": pa.array(g[one].view(np.int64)), "doc_id": pa.array(d[one], pa.int64())})
 
     seen = cut(reps.mapInArrow(exchange, "bucket int, g binary, d binary").repartition(parts, "bucket").groupBy("bucket").applyInArrow(twice, "g long, doc_id long"), "anchors")
-    distinct = cut(seen.select("g").distinct(), "repeated")
-    if distinct.count() <= MOST_BROADCAST:
-        found = np.sort(distinct.toPandas()["g"].to_numpy(np.int64).view(U64))
-        known = spark.sparkContext.broadcast(found)
+    holders = cut(seen.groupBy("g").agg(F.count("*").alias("n")), "repeated")
+
+    def gathered(values: DataFrame, kind: type) -> np.ndarray:
+        """A column of the driver's, rising as unsigned numbers; by Arrow, as rows of Python objects would fill the driver."""
+        return np.sort(values.toArrow().column(0).to_numpy().view(kind))
+
+    hot = spark.sparkContext.broadcast(gathered(holders.filter(F.col("n") > HOT).select("g"), U64))
+    if holders.count() <= MOST_BROADCAST:  # windows whose anchor has only the upper bits of a repeated one go along in vain
+        known = spark.sparkContext.broadcast(gathered(holders.select(F.shiftright("g", 32).cast("int").alias("g")).distinct(), np.uint32))
         source = reps.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("own"))
     else:
         known = None
@@ -276,20 +312,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         gap = re.compile(rb"\0+")
+        apart, found = hot.value, known.value if known is not None else None
         for b in (big.slice(at, 1024) for big in batches for at in range(0, big.num_rows, 1024)):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            rep = known.value if known is not None else np.unique(b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
+            rep = found if found is not None else np.unique((b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64) >> U64(32)).astype(np.uint32))
             held = []
             for w in word_chunks(b.column(1)):
                 starts, at, gram = anchors(w, length, k)
                 if not len(starts) or not len(rep):
                     continue
-                i = np.minimum(np.searchsorted(rep, gram), len(rep) - 1)
-                hit = np.flatnonzero(rep[i] == gram)
+                hit = np.flatnonzero(_among((gram >> U64(32)).astype(np.uint32), rep))
                 if not len(hit):
                     continue
                 starts, at, gram = starts[hit], at[hit], gram[hit]
-                head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+                alone = _among(gram, apart)
+                if alone.any():
+                    sums = np.zeros(len(w.hash) + 1, U64)
+                    np.cumsum(w.hash * powers(len(w.hash))[: len(w.hash)], dtype=U64, out=sums[1:])
+                    x = starts[alone]
+                    gram[alone] = mix(gram[alone] ^ mix((sums[x + length] - sums[x]) * powers(len(w.hash), "inverse")[x]))
+                head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]) | alone)
                 tail = np.append(head[1:], len(starts)) - 1
                 s0, n = starts[head], tail - head + 1
                 doc = np.searchsorted(w.first, s0, "right") - 1
@@ -299,20 +341,43 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col:
             if held:
                 g, d, s, n, off = (np.concatenate([x[c] for x in held]) for c in range(5))
                 words = [t for x in held for t in x[5]]
-                some, cols, o, edge = _pack_by((g % U64(buckets)).astype(np.int64), anchor=g.astype("<u8"), doc=d.astype("<i8"), start=s, count=n, off=off)
+                first, again, rest = equal_runs(words, d, s, np.zeros(len(d), bool))
+                later = np.stack(_union(d[rest], s[rest].astype(np.int64), s[rest].astype(np.int64) + n[rest] + length - 1), 1).astype("<i8")
+                g, d, s, n, off, words = g[first], d[first], s[first], n[first], off[first], [words[x] for x in first.tolist()]
+                some, cols, o, edge = _pack_by((g % U64(buckets)).astype(np.int64), anchor=g.astype("<u8"), doc=d.astype("<i8"), start=s, count=n, off=off, again=again)
                 joined = [b"".join(words[x] + b"\n" for x in o[edge[q] : edge[q + 1]].tolist()) for q in range(len(some))]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(cols[c], pa.binary()) for c in cols], pa.array(joined, pa.binary())], names=["bucket", *cols, "words"])
+                spans = [later[q :: len(some)].tobytes() for q in range(len(some))]  # they are finished: any place will do
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(cols[c], pa.binary()) for c in cols], pa.array(joined, pa.binary()), pa.array(spans, pa.binary())], names=["bucket", *cols, "words", "later"])
 
     def sort(table: pa.Table) -> pa.Table:
-        doc, start, later = repeated_windows(table, length)
-        o = np.lexsort((start, later, doc))
-        doc, start, later = doc[o], start[o], later[o]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (later[1:] != later[:-1]) | (start[1:] > start[:-1] + 1)]) if len(doc) else np.zeros(0, bool)
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(doc))[: len(head)] - 1
-        return pa.table({"doc_id": pa.array(doc[head], pa.int64()), "start": pa.array(start[head], pa.int64()), "stop": pa.array(start[tail] + length, pa.int64()), "later": pa.array(later[head])})
-
-    run_schema = "bucket int, anchor binary, doc binary, start binary, count binary, off binary, words binary"
+        get = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
+        words = [x for joined in table.column("words") for x in joined.as_py().split(b"\n")[:-1]]
+        anchor, doc, start, count, off, again = get("anchor", "<u8"), get("doc", "<i8"), get("start", "<i4").astype(np.int64), get("count", "<i4"), get("off", "<i4"), get("again", "?")
+        first, again, rest = equal_runs(words, doc, start, again)
+        known_later = np.concatenate([get("later", "<i8").reshape(-1, 3), np.stack([doc[rest], start[rest], start[rest] + count[rest] + length - 1], 1)])
+        out = [(*_union(*known_later.T), None)]
+        o = first[np.argsort(anchor[first], kind="stable")]
+        again = again[np.argsort(anchor[first], kind="stable")]
+        _, edge = runs_of(anchor[o])
+        upto = np.append(0, np.cumsum([len(words[x]) for x in o.tolist()]))[edge]
+        cuts, p = [], 0
+        while p < len(edge) - 1:
+            cuts.append(p)
+            p = max(p + 1, int(np.searchsorted(upto, upto[p] + SLICE_BYTES, "right")) - 1)
+        for p, q in zip(cuts, [*cuts[1:], len(edge) - 1]):
+            x = o[edge[p] : edge[q]]
+            d, s, later = repeated_windows([words[i] for i in x.tolist()], anchor[x], doc[x], start[x], count[x], off[x], again[edge[p] : edge[q]], length)
+            r = np.lexsort((s, later, d))
+            d, s, later = d[r], s[r], later[r]
+            new = np.concatenate([[True], (d[1:] != d[:-1]) | (later[1:] != later[:-1]) | (s[1:] > s[:-1] + 1)]) if len(d) else np.zeros(0, bool)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(d))[: len(head)] - 1
+            out.append((d[head], s[head], s[tail] + length, later[head]))
+        later = np.concatenate([np.ones(len(x[0]), bool) if x[3] is None else x[3] for x in out])
+        doc, start, stop = (np.concatenate([x[c] for x in out]) for c in range(3))
+        return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64()), "later": pa.array(later)})
+
+    run_schema = "bucket int, anchor binary, doc binary, start binary, count binary, off binary, again binary, words binary, later binary"
     found_spans = source.mapInArrow(runs, run_schema).repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort, "doc_id long, start long, stop long, later boolean")
 
     copied = classes.join(classes.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "digest", "left_semi").select("doc_id", (F.col("doc_id") != F.col("rep")).alias("later"))

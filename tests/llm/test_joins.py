@@ -159,6 +159,30 @@ def test_spans_equal_brute_force_with_short_windows(spark):
     assert got == brute_spans(texts, 12)
 
 
+def test_spans_of_repeats_split_anchors_and_small_slices(spark, monkeypatch):
+    r = random.Random(12)
+    junk = lambda: " ".join([r.choice(("the", "of"))] * r.randint(15, 120))
+    texts = {i: " ".join([cases.prose(i, r.randint(0, 20)), junk() if i % 3 else cases.PASSAGE, cases.prose(1000 + i, r.randint(0, 20))]) for i in range(40)}
+    rows = [*texts.items(), *list(texts.items())[:6]]  # repeated rows are no repeats
+    texts[100] = cases.prose(2000, 70)
+    rows += [(100, texts[100])] * 3
+    want = brute_spans(texts, 50)
+    assert 100 not in {d for d, *_ in want}
+    for limits in ({}, {"HOT": 2}, {"HOT": 2, "SLICE_BYTES": 1, "MOST_BROADCAST": 0}):
+        for k, v in limits.items():
+            monkeypatch.setattr(suffix_dedup, k, v)
+        assert {tuple(x) for x in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
+
+
+def test_equal_runs_are_one_and_repeated_rows_are_not_equals():
+    words = [b"the " * 60] * 30_000 + [b"a b", b"a b", b"c"]
+    doc = np.array([*range(30_000), 7, 7, 8])
+    start = np.array([5] * 30_000 + [3, 3, 3])
+    first, again, rest = suffix_dedup.equal_runs(words, doc, start, np.zeros(len(doc), bool))
+    assert {words[i][:3]: (int(doc[i]), bool(x)) for i, x in zip(first, again)} == {b"the": (0, True), b"a b": (7, False), b"c": (8, False)}
+    assert sorted(doc[rest]) == list(range(1, 30_000))  # of which only the spans are left
+
+
 def test_merge_sort_orders_suffixes():
     r = np.random.default_rng(3)
     h = r.integers(0, 3, 400).astype(np.uint64)
