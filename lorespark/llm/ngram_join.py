@@ -42,6 +42,7 @@ MOST_BROADCAST = 2_000_000  # ids of which every executor gets a copy; more are
 PACKET = 1_000_000  # grams of the documents that are ranked together
 HOT = 8_192  # documents of one gram that are paired in one group
 BLOCK = 256  # documents of one key that are verified in one group
+PLACE_BITS = 16  # of the greater id of a pair, that don't tell where it is counted
 
 
 def gram_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -212,6 +213,12 @@ def bucket_pairs(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.nd
         yield add_up(np.concatenate(held))
 
 
+def meeting_place(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the meetings of a pair are counted: with those of its lesser id and greater ids nearby, as differences of neighbours take little room."""
+    near = mix(np.ascontiguousarray(a).view(U64)) ^ np.ascontiguousarray(b >> PLACE_BITS).view(U64)
+    return (mix(near) % U64(buckets)).astype(np.int64)
+
+
 def add_up(p: np.ndarray) -> np.ndarray:
     """One row a pair, with the sum of its meetings."""
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
@@ -329,7 +336,7 @@ def verified(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, clas
         d, s, p, side, g = (np.concatenate([np.cumsum(x[k]) if k == 0 else x[k] for x in got]) for k in range(5))
         del got
         for m in bucket_pairs(g, d, s, p, side, t):
-            of = (mix(mix(np.ascontiguousarray(m[:, 0]).view(U64)) ^ np.ascontiguousarray(m[:, 1]).view(U64)) % U64(buckets)).astype(np.int64)
+            of = meeting_place(m[:, 0], m[:, 1], buckets)
             o = np.argsort(of, kind="stable")  # all meetings of a pair go to one place
             which, edge = runs_of(of[o])
             m = m[o]

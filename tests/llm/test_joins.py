@@ -357,3 +357,15 @@ def test_packed_pairs_and_columns_come_back():
     x, y = np.array([-1, 0, 2**62]), np.array([7, 7, 7])
     assert [list(c) for c in stretch(squeeze(x, y), 2)] == [list(x), list(y)]
     assert [list(c) for c in stretch(squeeze(x[:0], y[:0]), 2)] == [[], []]
+
+
+def test_meetings_of_a_cluster_take_little_room():
+    from lorespark.llm.ngram_join import _pack_pairs, meeting_place
+
+    ids = np.unique(np.random.default_rng(4).integers(0, 250_000, 700))
+    a, b = np.triu_indices(len(ids), 1)
+    m = np.stack([ids[a], ids[b], np.ones(len(a), np.int64), np.full(len(a), 9)], 1)
+    of = meeting_place(m[:, 0], m[:, 1], 100)
+    assert (meeting_place(m[::-1, 0], m[::-1, 1], 100)[::-1] == of).all()  # one place a pair
+    assert np.bincount(of, minlength=100).max() < 3 * len(m) / 100
+    assert sum(len(_pack_pairs(m[of == k])) for k in range(100)) < len(m)  # bytes; 2.9 a pair where pairs are scattered
