@@ -37,7 +37,7 @@ bm AS (SELECT item_id, doc_id, sum(times * ln((nd - df + 0.5) / (df + 0.5) + 1)
 
 @query("bm25_topk", f"WITH {BM25_CTE}, r AS (SELECT item_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM bm) SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, d):
-    s = R.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id").withColumn("score", F.round("score", 4))
+    s = R.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", digits=4, best=10)
     return R.top_k(s, ["item_id"], [F.col("score").desc(), F.col("doc_id")], 10).select("item_id", "doc_id", "score", "rank")
 
 
