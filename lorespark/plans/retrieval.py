@@ -53,11 +53,8 @@ SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <
 
 @query("hybrid_rank", HYBRID_SQL)
 def hybrid_rank(spark, d):
-    docs = table(spark, d, "documents")
-    c = R.bm25(table(spark, d, "benchmark"), docs, "item_id", "doc_id").withColumn("score", F.round("score", 4)).join(docs.select("doc_id", "n_chars"), "doc_id")
-    n = R.rank_normalised(R.rank_normalised(c, ["item_id"], "score", "r1"), ["item_id"], "n_chars", "r2")
-    s = n.select("item_id", "doc_id", F.round(R.blend(F.col("r1"), F.col("r2"), 0.7), 9).alias("score"))
-    return R.top_k(s, ["item_id"], [F.col("score").desc(), F.col("doc_id")], 10).select("item_id", "doc_id", "score", "rank")
+    s = R.bm25_blended(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", "n_chars", 0.7, 10, 9)
+    return s.select("item_id", "doc_id", "score", "rank")
 
 
 @query("rank_normalise", """
