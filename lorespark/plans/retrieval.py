@@ -77,10 +77,7 @@ def symbol_search(spark, d):
     part = table(spark, d, "part")
     docs = part.select("p_partkey", "p_retailprice", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
     qs = part.select(F.col("p_name").alias("qid")).distinct().withColumn("text", F.col("qid"))
-    s = R.bm25(qs, docs, "qid", "p_partkey").withColumn("score", F.round("score", 4)).filter("score > 0").join(docs.select("p_partkey", "p_retailprice"), "p_partkey")
-    n = R.rank_normalised(R.rank_normalised(s, ["qid"], "score", "r1"), ["qid"], "p_retailprice", "r2")
-    b = n.select("qid", "p_partkey", F.round(R.blend(F.col("r1"), F.col("r2"), 0.5), 6).alias("score"))
-    return R.top_k(b, ["qid"], [F.col("score").desc(), F.col("p_partkey")], 5).select("qid", "p_partkey", "score")
+    return R.bm25_blended(qs, docs, "qid", "p_partkey", "p_retailprice", 0.5, 5, 6, positive=True).select("qid", "p_partkey", "score")
 
 
 @query("symbol_list", """
