@@ -22,7 +22,7 @@ SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
 
 @query("overlap_topk", OVERLAP_SQL)
 def overlap_topk(spark, d):
-    s = R.overlap(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
+    s = R.overlap(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", best=5)
     return R.top_k(s, ["item_id"], [F.col("score").desc(), F.col("doc_id")], 5).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
